@@ -179,5 +179,5 @@ def _search(docs: DataFrame, index: ItemIndex) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    hits = contaminated(docs, benchmark, threshold, overlap).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == hits["_hit"], "left_anti")
+    hits = contaminated(docs, benchmark, threshold, overlap).select(F.col("doc_id").alias("__llm_hit")).distinct()
+    return docs.join(hits, docs["doc_id"] == hits["__llm_hit"], "left_anti")

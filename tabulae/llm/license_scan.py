@@ -161,8 +161,11 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
             labels, score = set(base), 1.0 if base else 0.0
             if not index.rare.isdisjoint(words):
                 for _, found in lines_of(data):
-                    labels.update(index.labels[t] for t in found)
-                    score = max(score, *found.values())
+                    # a line is labelled by the template that covers it best: all of a shorter
+                    # licence name can be part of a longer one
+                    best = max((share, len(index.sets[t])) for t, share in found.items())
+                    labels.update(index.labels[t] for t, share in found.items() if (share, len(index.sets[t])) == best)
+                    score = max(score, best[0])
             for col, v in zip(out, (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)):
                 col.append(v)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]

@@ -201,10 +201,10 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 5, similarity: float =
     the documents that had words and lost them all."""
     key = keyed(docs).select("doc", "key", "text")
     drop = dropped_lines(key, min_docs, similarity)
-    named = docs.withColumn("_key", F.xxhash64(F.coalesce(docs["doc_id"], F.lit((1 << 63) - 1)).cast("long"), F.coalesce(docs["text"], F.lit(""))))
-    rows = named.join(drop.select(F.col("key").alias("_key"), F.col("lines").alias("_lines")).hint("shuffle_hash"), "_key", "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("_lines", k)), "\n")
-    rows = rows.withColumn("text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left))
-    rows = rows.filter(F.col("_lines").isNull() | F.col("text").rlike("\\S"))
-    cols = [F.when(F.col("_lines").isNull(), F.col(c)).otherwise(F.length("text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    named = docs.withColumn("__llm_key", F.xxhash64(F.coalesce(docs["doc_id"], F.lit((1 << 63) - 1)).cast("long"), F.coalesce(docs["text"], F.lit(""))))
+    rows = named.join(drop.select(F.col("key").alias("__llm_key"), F.col("lines").alias("__llm_lines")).hint("shuffle_hash"), "__llm_key", "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("__llm_lines", k)), "\n")
+    rows = rows.withColumn("text", F.when(F.col("__llm_lines").isNull(), F.col("text")).otherwise(left))
+    rows = rows.filter(F.col("__llm_lines").isNull() | F.col("text").rlike("\\S"))
+    cols = [F.when(F.col("__llm_lines").isNull(), F.col(c)).otherwise(F.length("text").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return rows.select(*cols)

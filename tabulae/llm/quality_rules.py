@@ -66,7 +66,7 @@ def line_passes(line: Column) -> Column:
 
 def quality_columns(text: Column, min_kept: float = 0.5) -> dict[str, Column]:
     """The rule columns for a text column that is not null and has a ``words`` array beside it."""
-    words = F.col("_words")
+    words = F.col("__llm_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     return {
         "n_words": F.size(words).cast("long"),
@@ -80,9 +80,9 @@ def quality_columns(text: Column, min_kept: float = 0.5) -> dict[str, Column]:
 
 def judge(docs: DataFrame, min_kept: float = 0.5) -> DataFrame:
     """One row for each document: the counts, the cleaned text and the verdict."""
-    base = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("_text"))
-    base = base.select("doc_id", "_text", words_of(F.col("_text")).alias("_words"))
-    rows = base.select("doc_id", *[c.alias(k) for k, c in quality_columns(F.col("_text")).items()])
+    base = docs.select(docs["doc_id"].alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("__llm_text"))
+    base = base.select("doc_id", "__llm_text", words_of(F.col("__llm_text")).alias("__llm_words"))
+    rows = base.select("doc_id", *[c.alias(k) for k, c in quality_columns(F.col("__llm_text")).items()])
     kept_words = F.size(words_of(F.col("clean_text"))).cast("long")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = rows.select("*", kept_words.alias("n_kept_words"), failed.alias("base_failed"))
@@ -98,10 +98,10 @@ def clean_documents(docs: DataFrame, min_kept: float = 0.5) -> DataFrame:
     """``docs`` without the rejected documents and the failing lines of the others; all columns
     stay, ``n_chars`` is counted again. One projection, without a join or a shuffle."""
     text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.withColumn("_text", text).withColumn("_words", words_of(F.col("_text")))
-    made = quality_columns(F.col("_text"))
-    rows = rows.select("*", *[made[k].alias(f"_{k}") for k in ("n_words", "n_repeat_words", "clean_text")])
-    kept = F.size(words_of(F.col("_clean_text")))
-    rows = rows.filter((F.col("_n_words") >= 10) & (100 * F.col("_n_repeat_words") <= 20 * F.col("_n_words")) & (kept >= min_kept * F.col("_n_words")))
-    made = {"text": F.col("_clean_text"), "n_chars": F.length("_clean_text").cast("long")}
+    rows = docs.withColumn("__llm_text", text).withColumn("__llm_words", words_of(F.col("__llm_text")))
+    made = quality_columns(F.col("__llm_text"))
+    rows = rows.select("*", *[made[k].alias(f"__llm_{k}") for k in ("n_words", "n_repeat_words", "clean_text")])
+    kept = F.size(words_of(F.col("__llm_clean_text")))
+    rows = rows.filter((F.col("__llm_n_words") >= 10) & (100 * F.col("__llm_n_repeat_words") <= 20 * F.col("__llm_n_words")) & (kept >= min_kept * F.col("__llm_n_words")))
+    made = {"text": F.col("__llm_clean_text"), "n_chars": F.length("__llm_clean_text").cast("long")}
     return rows.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])

@@ -15,6 +15,7 @@ from tabulae.llm.quality_rules import quality_rules
 from tabulae.llm.separator_scan import token_counts
 from tabulae.llm.sentencepiece_codec import encode_documents
 from tabulae.llm.simhash_groups import simhash_components
+from tabulae.llm.sql import quality_sql, url_sql, windows_sql
 from tabulae.llm.suffix_repeats import remove_repeats
 from tabulae.llm.url_trust import judge_urls
 
@@ -45,4 +46,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": quality_sql(), "op4_url_trust": url_sql(), "op7_fingerprint_index": windows_sql()}

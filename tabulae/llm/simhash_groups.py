@@ -189,9 +189,9 @@ def keep_one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 5, blocks:
     Of rows that share that doc_id the one with the smallest text hash stays. Rows without a
     doc_id are kept. Only fingerprints and ids are shuffled to find the groups."""
     found = simhash_components(docs, radius, shingle, blocks)
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__llm_keep")).distinct()
+    rows = docs.join(keep, docs["doc_id"] == keep["__llm_keep"], "left_semi")
     # rows that share a doc_id are an error of the source: of those the first by its text stays
     first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    rows = rows.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(docs.columns)
+    rows = rows.withColumn("__llm_row", F.row_number().over(first)).filter("__llm_row = 1").select(docs.columns)
     return rows.unionByName(docs.filter(docs["doc_id"].isNull()))

@@ -41,7 +41,7 @@ class EnhancedSuffixArray:
 
     ``starts`` restricts which suffixes are listed. No common prefix crosses a string's end."""
 
-    def __init__(self, bodies: list[bytes], starts: np.ndarray | None = None, least: int = 1) -> None:
+    def __init__(self, bodies: list[bytes], starts: np.ndarray | None = None) -> None:
         sizes = np.array([len(b) for b in bodies], np.int64)
         text = np.frombuffer(b"".join(bodies), np.uint8)
         n = len(text)
@@ -53,7 +53,7 @@ class EnhancedSuffixArray:
         key = np.zeros(n, np.int64)
         for k in range(depth):
             part = np.zeros(n, np.int64)
-            part[: n - k] = text[k:].astype(np.int64) + 1
+            part[: max(0, n - k)] = text[k:].astype(np.int64) + 1
             part[left <= k] = 0
             key = key << 9 | part
         longest = int(sizes.max()) if len(sizes) else 0
@@ -63,7 +63,7 @@ class EnhancedSuffixArray:
             if depth >= longest:
                 break
             beyond = np.zeros(n, np.int64)
-            beyond[: n - depth] = rank[depth:] + 1
+            beyond[: max(0, n - depth)] = rank[depth:] + 1
             beyond[left <= depth] = 0
             key = rank * (n + 1) + beyond
             depth *= 2
@@ -109,14 +109,14 @@ class EnhancedSuffixArray:
                     stack.append((value, start))
 
 
-def _bucket_groups(batches: list[pa.RecordBatch], least: int) -> tuple[EnhancedSuffixArray, pa.Table, np.ndarray, np.ndarray]:
+def _bucket_groups(batches: list[pa.RecordBatch]) -> tuple[EnhancedSuffixArray, pa.Table, np.ndarray, np.ndarray]:
     table = pa.Table.from_batches(batches)
     bodies = table.column("body").to_pylist()
     sizes = np.array([len(b) for b in bodies], np.int64)
     windows = table.column("windows").to_numpy()
     offset = np.cumsum(sizes) - sizes
     starts = np.repeat(offset, windows) + np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    return EnhancedSuffixArray(bodies, starts, least), table, offset, sizes
+    return EnhancedSuffixArray(bodies, starts), table, offset, sizes
 
 
 def _compare(rows: DataFrame, length: int) -> DataFrame:
@@ -126,7 +126,7 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, CHUNK_BYTES):
-            array, table, offset, _ = _bucket_groups(chunk, length)
+            array, table, offset, _ = _bucket_groups(chunk)
             # an occurrence at s of a repeat of n bytes has n - length + 1 windows of its own
             change = np.zeros(len(array.text) + 1, np.int64)
             for size, places in array.maximal_repeats(length):
@@ -199,7 +199,7 @@ def repeat_groups(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, CHUNK_BYTES):
-            array, table, offset, _ = _bucket_groups(chunk, length)
+            array, table, offset, _ = _bucket_groups(chunk)
             doc, first = table.column("doc").to_numpy(), table.column("first").to_numpy()
             for size, places in array.maximal_repeats(length):
                 string = array.string[places]

@@ -73,9 +73,9 @@ def propagate(hosts: DataFrame, edges: DataFrame, iterations: int = 8, keep: flo
     seeds = seeds.filter("seed").select("kind", "host", F.lit(ONE).cast("long").alias("rank"))
     seeds = seeds.checkpoint()
     ranks = seeds
-    given = seeds.select("kind", "host", F.floor(F.col("rank") * (1 - keep)).cast("long").alias("rank"))
+    given = seeds.select("kind", "host", F.floor(F.col("rank").cast("double") * F.lit(100 - round(keep * 100)) / 100).cast("long").alias("rank"))
     for k in range(iterations):
-        moved = ranks.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.floor(F.col("rank") * F.lit(round(keep * 100)) * F.col("n") / (100 * F.col("total"))).cast("long").alias("rank"))
+        moved = ranks.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.floor(F.col("rank").cast("double") * F.lit(round(keep * 100)) * F.col("n") / (100 * F.col("total"))).cast("long").alias("rank"))
         ranks = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if (k + 1) % every == 0:
             ranks = ranks.checkpoint()

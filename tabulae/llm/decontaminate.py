@@ -6,9 +6,9 @@ sent to the workers, and a larger benchmark is taken in blocks of that size, one
 Every passage of every document is a query: windows of twice the longest item's words, each
 beginning in the middle of the one before, so that any item stands whole in some passage.
 An item's score is its share of the BM25 score that it has for itself, so one threshold
-suits all items. Passages whose terms' largest impacts add up to less than the threshold are
-skipped at once; the others go through the posting lists with WAND's pivots and the blocks'
-own largest impacts. All items above the threshold are retrieved and then verified: of both
+suits all items. Passages whose terms' largest impacts, in each range of items, add up to less than
+the threshold are skipped at once; the others go through the posting lists with WAND's
+pivots and the blocks' own largest impacts. All items above the threshold are retrieved and then verified: of both
 the item's question (all but its last sentence) and its answer (the rest) at least
 ``overlap`` of the five-word shingles, or of the words where there are fewer than five,
 stand in the passage.
@@ -23,7 +23,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,7 @@ from tabulae.llm.common import arrow_map, only
 
 MAX_ITEMS = 20_000
 BLOCK = 8
+GRID = 64
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
@@ -77,12 +78,34 @@ class ItemIndex:
                 scores.append(s / total)
         for ids, scores, blocks in self.postings.values():
             blocks += [max(scores[i : i + BLOCK]) for i in range(0, len(scores), BLOCK)]
-        self.most = {t: max(p[2]) for t, p in self.postings.items()}
+        # the most frequent terms together are worth at most ``rest`` to any item; an item above the
+        # threshold must earn what is left of it from the others, so WAND walks only their lists
+        self.common: dict[str, dict[int, float]] = {}
+        shares = np.zeros(len(bags))
+        for t in sorted(self.postings, key=lambda t: (-len(self.postings[t][0]), t)):
+            ids, scores, _ = self.postings[t]
+            more = shares.copy()
+            more[ids] += scores
+            if len(ids) < 2 or more.max() > threshold * 0.6:
+                break
+            shares = more
+            self.common[t] = dict(zip(ids, scores))
+        self.rest = float(shares.max()) if len(shares) else 0.0
+        self.need = threshold - self.rest - 1e-9
+        # largest impacts in at most ``GRID`` ranges of items: one row a term, row 0 for no term
+        width = -(-len(bags) // GRID) if bags else 1
+        rare = [t for t in self.postings if t not in self.common]
+        self.row = {t: k for k, t in enumerate(rare, 1)}
+        self.grid = np.zeros((len(rare) + 1, GRID))
+        for t, k in self.row.items():
+            np.maximum.at(self.grid[k], np.array(self.postings[t][0]) // width, self.postings[t][1])
+        self.most = {t: max(p[2]) for t, p in self.postings.items() if t not in self.common}
 
     def retrieve(self, terms: set[str]) -> list[tuple[int, float]]:
         """All items whose score for these terms reaches the threshold, by block-max WAND."""
-        need = self.threshold - 1e-9
-        lists = [(*self.postings[t], self.most[t]) for t in terms if t in self.postings]
+        need = self.need
+        lists = [(*self.postings[t], self.most[t]) for t in sorted(terms & self.most.keys())]
+        frequent = [self.common[t] for t in sorted(terms & self.common.keys())]
         at = [0] * len(lists)
         found = []
         while True:
@@ -111,7 +134,8 @@ class ItemIndex:
                 target = max(doc + 1, min(border, live[pivot + 1][0] if pivot + 1 < len(live) else 1 << 60))
             elif live[0][0] == doc:
                 score = sum(lists[i][1][at[i]] for d, i in live[: pivot + 1])
-                if score >= need:
+                score += sum(c.get(doc, 0.0) for c in frequent)
+                if score >= self.threshold - 1e-9:
                     found.append((doc, score))
                 target = doc + 1
             else:
@@ -128,16 +152,19 @@ class ItemIndex:
         words = WORD.findall(text.lower())
         if not words or not self.ids:
             return {}
-        bounds = np.fromiter(map(self.most.get, words, _ZEROS(len(words))), np.float64, len(words))
+        rows = np.fromiter(map(self.row.get, words, repeat(0)), np.int32, len(words))
+        places = np.flatnonzero(rows)
         size = 2 * self.longest
-        total = np.concatenate([[0.0], np.cumsum(bounds)])
         first = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        bound = total[np.minimum(first + size, len(words))] - total[first]
+        total = np.zeros((len(places) + 1, GRID))
+        np.cumsum(self.grid[rows[places]], axis=0, out=total[1:])
+        low, high = np.searchsorted(places, first), np.searchsorted(places, first + size)
+        bound = (total[high] - total[low]).max(1)
         found: dict[int, tuple[int, float, float]] = {}
-        for at in first[bound >= self.threshold - 1e-6].tolist():
+        for at in first[bound >= self.need - 1e-6].tolist():
             passage = words[at : at + size]
             terms = set(passage)
-            if sum(self.most.get(t, 0.0) for t in terms) < self.threshold - 1e-6:
+            if sum(self.most.get(t, 0.0) for t in terms) < self.need - 1e-6:
                 continue
             for item, score in self.retrieve(terms):
                 share = self.verify(item, passage)
@@ -146,11 +173,6 @@ class ItemIndex:
         return found
 
 
-@lru_cache(64)
-def _ZEROS(n: int) -> tuple[float, ...]:
-    return (0.0,) * n
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, overlap: float = 0.8) -> DataFrame:
     """(doc_id, item_id, word, score, overlap): each item that a document holds, once."""
     items = only(benchmark, "item_id", "text").filter("text IS NOT NULL AND item_id IS NOT NULL")

@@ -117,4 +117,4 @@ def token_counts(docs: DataFrame, tokenizer: str, separator: int = 50256, block_
     manifest = write_tokens(docs, tokenizer, separator, path)
     folder = _local(path) + "/tokens"
     counts = scan_tokens(spark, [f"{folder}/{f}" for f in os.listdir(folder)], separator, block_bytes)
-    return manifest.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return manifest.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tabulae.llm.common import BATCH_ROWS, arrow_map, cut, limit_batches
 from tabulae.llm.repeat_core import keyed
 
-VARIABLE = re.compile(r"\S*(?:\d|@|://)\S*")
+VARIABLE = re.compile(r"\d|@|://")
 HOT = 2000
 FLUSH_BYTES = 8_000_000
 DEPTH = 3
@@ -39,7 +39,9 @@ DEPTH = 3
 
 def generalise(line: str) -> str:
     """The line's tokens, variable ones as ``<*>``, joined by one space; empty without tokens."""
-    return " ".join(VARIABLE.sub("<*>", line).split())
+    if VARIABLE.search(line):
+        return " ".join(["<*>" if VARIABLE.search(t) else t for t in line.split()])
+    return " ".join(line.split())
 
 
 def leaf_of(general: str, depth: int) -> int:

@@ -15,7 +15,7 @@ from tabulae.llm.decontaminate import decontaminate
 from tabulae.llm.line_templates import drop_template_lines
 from tabulae.llm.quality_rules import clean_documents
 from tabulae.llm.sentencepiece_codec import encode_documents
-from tabulae.llm.simhash_groups import keep_one_of_each
+from tabulae.llm.simhash_groups import keep_one_of_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays."""
-    return keep_one_of_each(docs)
+    return keep_one_of_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from tabulae.llm.line_templates import cluster, drop_template_lines, generalise,
 from tabulae.llm.quality_rules import clean_documents, quality_rules
 from tabulae.llm.sentencepiece_codec import MergeEncoder, encode_documents
 from tabulae.llm.separator_scan import scan_tokens, token_counts
-from tabulae.llm.simhash_groups import fingerprint, keep_one_of_each, near_pairs, simhash_components
+from tabulae.llm.simhash_groups import fingerprint, keep_one_of_each, keep_one_of_near_copies, near_pairs, simhash_components
 from tabulae.llm.suffix_repeats import EnhancedSuffixArray, remove_repeats, repeat_groups
 from tabulae.llm.url_trust import host_edges, judge_urls, propagate
 
@@ -246,6 +246,37 @@ def test_simhash_groups_equal_brute_force(spark):
     assert kept.columns == frame(spark, rows).columns and {r.doc_id for r in kept.collect()} == {w[2] for w in want}
 
 
+def word_jaccard(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_of_similarity_080_are_found(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(12):
+        base = [f"v{rng.randint(0, 99999)}" for _ in range(rng.choice([40, 120, 400]))]
+        rows.append((10 * g, " ".join(base)))
+        for k, share in enumerate((0.80, 0.85, 0.95, 0.70), 1):
+            # each changed word costs five shingles on each side
+            n, copy = len(base) - 4, list(base)
+            for j in range(int(n * (1 - share) / (1 + share) / 5)):
+                copy[7 + j * 7] = f"new{g}x{k}x{j}"
+            rows.append((10 * g + k, " ".join(copy)))
+    rows += [(500, ""), (501, None), (502, "one two"), (503, "One  two"), (504, rows[0][1]), (None, rows[0][1])]
+    texts = [(i, t or "") for i, t in rows if i is not None]
+    near = [(x, y) for x in range(len(texts)) for y in range(x) if word_jaccard(texts[x][1], texts[y][1]) >= 0.8]
+    # the plants must need more than the fingerprint's radius
+    fps = [fingerprint(t, 5) for _, t in texts]
+    assert sum((fps[x] ^ fps[y]).bit_count() > 4 for x, y in near) > 10
+    least = {}
+    for (i, _), g in zip(texts, roots(len(texts), near)):
+        least[g] = min(least.get(g, i), i)
+    kept = keep_one_of_near_copies(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(least.values())
+
+
 def test_tiles_lose_no_link():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 64, 40, np.uint64)

@@ -9,7 +9,8 @@ line number) stays and all others are dropped.
 
 A task sends each generalised line once per flush with its count of documents, so a line
 that stands in a third of all documents sends few rows to its leaf. A leaf with more than
-``HOT`` different lines isn't held in memory: there each line is a template of its own.
+``HOT`` different lines isn't held in memory: its lines stream past an index of its templates
+(``HotLeaf``), which gives the same templates; two numbers a line are held, and the templates.
 
 Null texts count as empty: no lines, nothing dropped. Lines without a token are never
 dropped. Equal rows count as two documents. A null doc_id counts as the largest. Extra
@@ -19,7 +20,9 @@ columns are kept by ``drop_template_lines``.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +81,76 @@ def cluster(lines: list[tuple[str, int]], similarity: float) -> list[tuple[str,
     return [(" ".join(words[t] for t in templates[k].tolist()), [lines[i][0] for i in own], sum(lines[i][1] for i in own)) for k, own in enumerate(members)]
 
 
+class HotLeaf:
+    """``cluster`` for lines that come in its order, without holding them.
+
+    A line that joins a template differs from it in at most ``apart`` positions, so of
+    ``apart + 1`` ranges of positions one agrees as a whole: only templates that share a range
+    are compared. The leading ``depth`` tokens of a leaf are equal and in no range."""
+
+    def __init__(self, width: int, similarity: float, depth: int = 0) -> None:
+        self.need = similarity * width
+        apart = max(0, width - math.ceil(self.need))
+        # with too few positions that can differ, all templates share the empty range
+        n = min(apart + 1, max(1, width - depth))
+        self.edges = [0] if apart >= width - min(depth, width) else [depth + round((width - depth) * k / n) for k in range(n + 1)]
+        self.names: dict[str, int] = {"<*>": -1}
+        self.index: dict[tuple[int, bytes], list[int]] = {}
+        self.templates = np.empty((64, width), np.int32)
+        self.docs: list[int] = []
+        self.lines, self.owner = array("q"), array("q")
+
+    def _ranges(self, row: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(k, row[a:b].tobytes()) for k, (a, b) in enumerate(zip(self.edges, self.edges[1:]))] or [(0, b"")]
+
+    def add(self, line: str, n: int) -> None:
+        names = self.names
+        row = np.array([names.setdefault(t, len(names)) for t in line.split(" ")], np.int32)
+        ranges = self._ranges(row)
+        near = [x for r in ranges if (x := self.index.get(r))]
+        if near:
+            at = np.array(near[0] if len(near) == 1 else sorted(set().union(*near)), np.int64)
+            same = (self.templates[at] == row).sum(1)
+            most = same.max()
+            # of the best the oldest
+            best = int(at[same == most].min())
+            if most >= self.need:
+                template = self.templates[best]
+                if most < len(row):
+                    before = self._ranges(template)
+                    template[template != row] = -1
+                    for old, new in zip(before, self._ranges(template)):
+                        if old != new:
+                            self.index[old].remove(best)
+                            if not self.index[old]:
+                                del self.index[old]
+                            self.index.setdefault(new, []).append(best)
+                return self._own(best, line, n)
+        own = len(self.docs)
+        if own == len(self.templates):
+            self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
+        self.templates[own] = row
+        self.docs.append(0)
+        for r in ranges:
+            self.index.setdefault(r, []).append(own)
+        self._own(own, line, n)
+
+    def _own(self, template: int, line: str, n: int) -> None:
+        self.docs[template] += n
+        self.lines.append(_signed(line))
+        self.owner.append(template)
+
+    def groups(self, min_docs: int) -> Iterator[tuple[str, np.ndarray]]:
+        """(template, hashes of its lines) of the templates that can reach ``min_docs`` documents."""
+        words = {v: k for k, v in self.names.items()}
+        lines, owner = np.array(self.lines, np.int64), np.array(self.owner, np.int64)
+        order = np.argsort(owner, kind="stable")
+        ends = np.cumsum(np.bincount(owner, minlength=len(self.docs)))
+        for k, n in enumerate(self.docs):
+            if n >= min_docs:
+                yield " ".join(words[t] for t in self.templates[k].tolist()), lines[order[ends[k - 1] if k else 0 : ends[k]]]
+
+
 def templates(docs: DataFrame, min_docs: int, similarity: float, depth: int = DEPTH) -> DataFrame:
     """(line, template): hashes of generalised lines of templates that can reach ``min_docs``.
     ``docs`` is ``keyed``."""
@@ -107,22 +180,31 @@ def templates(docs: DataFrame, min_docs: int, similarity: float, depth: int = DE
 
     limit_batches(docs.sparkSession, BATCH_ROWS)
     rows = docs.select("text").mapInArrow(leaves, "leaf long, line string, n long")
-    rows = rows.repartition("leaf").sortWithinPartitions("leaf", "line")
+    # the sum needs no exchange of its own: equal lines share their leaf
+    rows = rows.repartition("leaf").groupBy("leaf", "line").agg(F.sum("n").alias("n"))
+    rows = rows.sortWithinPartitions("leaf", F.desc("n"), "line")
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf: int | None = None
-        held: dict[str, int] = {}
-        alone = False  # too many lines in this leaf
+        held: list[tuple[str, int]] = []
+        hot: HotLeaf | None = None  # too many lines in this leaf
         out: list[tuple[int, int]] = []
 
-        def end() -> None:
-            if sum(held.values()) >= min_docs:
-                groups = [(k, [k], n) for k, n in held.items()] if alone else cluster(list(held.items()), similarity)
-                for template, own, n in groups:
+        def end() -> Iterator[pa.RecordBatch]:
+            nonlocal hot
+            if hot is not None:
+                for template, own in hot.groups(min_docs):
+                    name = _signed(f"{leaf} {template}")
+                    out.extend((x, name) for x in own.tolist())
+                    if len(out) > 10_000:
+                        yield rows_out()
+            elif sum(n for _, n in held) >= min_docs:
+                for template, own, n in cluster(held, similarity):
                     if n >= min_docs:
                         name = _signed(f"{leaf} {template}")
                         out.extend((_signed(x), name) for x in own)
             held.clear()
+            hot = None
 
         def rows_out() -> pa.RecordBatch:
             a = np.array(out, np.int64).reshape(-1, 2)
@@ -132,19 +214,20 @@ def templates(docs: DataFrame, min_docs: int, similarity: float, depth: int = DE
         for batch in batches:
             for k, line, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if k != leaf:
-                    end()
-                    leaf, alone = k, False
-                elif alone and line not in held:
-                    end()
-                held[line] = held.get(line, 0) + n
-                if len(held) > HOT and not alone:
-                    alone = True
-                    last = held.pop(line)
-                    end()
-                    held[line] = last
+                    yield from end()
+                    leaf = k
+                if hot is not None:
+                    hot.add(line, n)
+                    continue
+                held.append((line, n))
+                if len(held) > HOT:
+                    hot = HotLeaf(line.count(" ") + 1, similarity, min(depth, line.count(" ") + 1))
+                    for x in held:
+                        hot.add(*x)
+                    held.clear()
             if len(out) > 10_000:
                 yield rows_out()
-        end()
+        yield from end()
         yield rows_out()
 
     return rows.mapInArrow(parse, "line long, template long")

@@ -19,7 +19,7 @@ from tabulae.llm.components import components
 from tabulae.llm.decontaminate import ItemIndex, contaminated, decontaminate, shingles, split_item
 from tabulae.llm.fingerprint_index import FingerprintIndex, remove_earlier_windows
 from tabulae.llm.license_scan import TEMPLATES, TemplateIndex, scan_licenses
-from tabulae.llm.line_templates import cluster, drop_template_lines, generalise, leaf_of, line_dedup
+from tabulae.llm.line_templates import HOT, HotLeaf, _signed, cluster, drop_template_lines, generalise, leaf_of, line_dedup
 from tabulae.llm.quality_rules import clean_documents, quality_rules
 from tabulae.llm.sentencepiece_codec import MergeEncoder, encode_documents
 from tabulae.llm.separator_scan import scan_tokens, token_counts
@@ -439,6 +439,30 @@ def test_clusters_generalise_differing_tokens():
     assert (name, sorted(own), n) == ("a b c d <*>", ["a b c d e", "a b c d f"], 5) and other == "z z z z z"
 
 
+@pytest.mark.parametrize("n", [HOT, HOT + 1])
+def test_large_leaves_generalise_too(spark, n):
+    rows = [(k, f"Posted by user name{'abcdefghij'[k % 10]}{''.join(chr(97 + int(c)) for c in str(k))} on the main board today") for k in range(n)]
+    assert [r.n_dropped for r in line_dedup(frame(spark, rows)).orderBy("doc_id").collect()] == [0] + [1] * (n - 1)
+
+
+def test_hot_leaves_cluster_as_small_ones():
+    rng = random.Random(13)
+    for _ in range(150):
+        width, size, depth = rng.randint(1, 14), rng.randint(1, 5), rng.randint(0, 3)
+        head = [rng.choice(["h", "<*>"]) for _ in range(min(depth, width))]
+        lines = Counter()
+        base = [[rng.choice("abcdef"[:size]) for _ in range(width)] for _ in range(4)]
+        for _ in range(rng.randint(1, 150)):
+            tail = [rng.choice(["x", "y", "z", "<*>"]) if rng.random() < 0.2 else t for t in rng.choice(base)]
+            lines[" ".join(head + tail[len(head) :])] += rng.randint(1, 3)
+        for similarity in (0.8, 0.5, 1.0):
+            hot = HotLeaf(width, similarity, len(head))
+            for x, n in sorted(lines.items(), key=lambda x: (-x[1], x[0])):
+                hot.add(x, n)
+            want = [(t, sorted(_signed(x) for x in own), n) for t, own, n in cluster(list(lines.items()), similarity)]
+            assert [(t, sorted(own.tolist()), n) for (t, own), n in zip(hot.groups(0), hot.docs, strict=True)] == want
+
+
 # -- all -----------------------------------------------------------------------------------
 @pytest.mark.parametrize("name", sorted(set(registered.queries()) - {"op4_url_trust"}))
 def test_empty_tables(spark, tmp_path, name):

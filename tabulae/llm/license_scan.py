@@ -1,7 +1,8 @@
 """Operator 9: license scan as an exact set-similarity join of text blocks and templates.
 
-Blocks are the lines of a text, as sets of words. A block meets a template when it holds at
-least ``threshold`` of the template's words. Template words are ordered by their frequency
+Blocks are the lines of a text, and windows of words that cross line breaks, as sets of words. A
+block meets a template when it holds at least ``threshold`` of the template's words. A window is
+as long as the template in words, divided by ``threshold``, so a text may be wrapped anywhere. Template words are ordered by their frequency
 in the whole corpus, rarest first, and three filters stand before the verification:
 
 * prefix: a block that meets template T holds one of its |T| - need + 1 rarest words;
@@ -91,8 +92,46 @@ class TemplateIndex:
             for at, w in enumerate(words[: len(words) - need + 1]):
                 self.prefix.setdefault(w, []).append((t, at))
         self.members = [frozenset(s) for s in self.sets]
+        self.spans = [math.ceil(len(text.split()) / threshold - 1e-9) for _, text in templates]
         self.rare = frozenset(w for w, k in self.order.items() if k in self.prefix)
 
+    def windows(self, words: list[bytes], line: list[int]) -> list[tuple[int, int, int, int]]:
+        """(template, start, stop, shared) of runs of windows that cross a line break and meet a
+        template: the run's first window with the most shared words. ``line`` is each word's."""
+        order = self.order
+        places = [(i, w) for i, x in enumerate(words) if (w := order.get(x)) is not None]
+        held = {w for _, w in places}
+        found: list[tuple[int, int, int, int]] = []
+        # as a whole the words must meet the template too, by its prefix and by their number
+        for t in sorted({t for w in held for t, _ in self.prefix.get(w, ())}):
+            members, need, span = self.members[t], self.need[t], self.spans[t]
+            if len(members & held) < need:
+                continue
+            own = [(i, w) for i, w in places if w in members]
+            count: dict[int, int] = {}
+            low, best = 0, None
+            for i, w in own:
+                count[w] = count.get(w, 0) + 1
+                while own[low][0] <= i - span:
+                    gone = own[low][1]
+                    count[gone] -= 1
+                    if not count[gone]:
+                        del count[gone]
+                    low += 1
+                start = own[low][0]
+                if len(count) < need or line[start] == line[i]:
+                    continue
+                if best is not None and start < best[2]:
+                    if len(count) > best[3]:
+                        best = (t, start, i + 1, len(count))
+                    continue
+                if best is not None:
+                    found.append(best)
+                best = (t, start, i + 1, len(count))
+            if best is not None:
+                found.append(best)
+        return found
+
     def matches(self, words: list[bytes]) -> dict[int, float]:
         """Containment of each template that the block of these words meets."""
         distinct = set(words)
@@ -116,7 +155,8 @@ class TemplateIndex:
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, blocks: bool = False) -> DataFrame:
     """One row for each document with places, labels and score; with ``blocks`` one row for
-    each (doc_id, line number, label, containment) instead, the join's own result.
+    each (doc_id, line number, label, containment) instead, the join's own result; a window that
+    crosses line breaks has the number of the line where it begins.
 
     ``score`` is the largest containment met, or 1 where a phrase stands, or 0."""
     templates = TEMPLATES if templates is None else templates
@@ -125,17 +165,47 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     phrases = [(label, p.encode().split()) for label, p in PHRASES.items()]
     keys = frozenset(p[-1] for _, p in phrases)
 
-    def lines_of(data: bytes) -> Iterator[tuple[int, dict[int, float]]]:
-        for k, line in enumerate(data.translate(_LETTERS_LINES).split(b"\n")):
-            words = line.split()
-            if not index.rare.isdisjoint(words) and (found := index.matches(words)):
-                yield k, found
+    def blocks_of(data: bytes) -> Iterator[tuple[int, dict[int, float]]]:
+        """(line, containment of the templates it gives) of lines, then of windows, which begin there."""
+        order = index.order
+        words: list[bytes] = []
+        line: list[int] = []
+        met: list[tuple[int, int, int, float, frozenset[int]]] = []
+        groups: list[tuple[int, list[tuple]]] = []
+        for k, text in enumerate(data.translate(_LETTERS_LINES).split(b"\n")):
+            own = text.split()
+            if own and not index.rare.isdisjoint(own) and (found := index.matches(own)):
+                block = {order[w] for w in own if w in order}
+                here = [(t, len(words), len(words) + len(own), share, index.members[t] & block) for t, share in found.items()]
+                met += here
+                groups.append((k, here))
+            words += own
+            line += [k] * len(own)
+        wide = []
+        for t, start, stop, shared in index.windows(words, line):
+            share = shared / len(index.sets[t])
+            if not any(x[0] == t and x[3] >= share and x[1] < stop and start < x[2] for x in met):
+                block = {order[w] for w in words[start:stop] if w in order}
+                wide.append((t, start, stop, share, index.members[t] & block))
+        for k, here in groups:
+            # a window doesn't hide a template that stands in its line as a whole
+            if left := {x[0]: x[3] for x in here if not hidden(x, here if x[3] == 1 else here + wide)}:
+                yield k, left
+        for x in wide:
+            if not hidden(x, met + wide):
+                yield line[x[1]], {x[0]: x[3]}
+
+    def hidden(x: tuple, others: list[tuple]) -> bool:
+        """Whether a better template than ``x`` meets there too."""
+        t, start, stop, share, shared = x
+        rank = (share, len(index.sets[t]))
+        return any((o[3], len(index.sets[o[0]])) > rank and o[1] < stop and start < o[2] for o in others)
 
     def as_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [
             (doc, k, index.labels[t], share)
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for k, found in lines_of((text or "").encode("utf-8", "surrogatepass"))
+            for k, found in blocks_of((text or "").encode("utf-8", "surrogatepass"))
             for t, share in sorted(found.items())
         ]
         return pa.RecordBatch.from_pylist([dict(zip(("doc_id", "line", "label", "containment"), r)) for r in rows], pa.schema([("doc_id", pa.int64()), ("line", pa.int64()), ("label", pa.string()), ("containment", pa.float64())]))
@@ -160,12 +230,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                             base.add(label)
             labels, score = set(base), 1.0 if base else 0.0
             if not index.rare.isdisjoint(words):
-                for _, found in lines_of(data):
-                    # a line is labelled by the template that covers it best: all of a shorter
-                    # licence name can be part of a longer one
-                    best = max((share, len(index.sets[t])) for t, share in found.items())
-                    labels.update(index.labels[t] for t, share in found.items() if (share, len(index.sets[t])) == best)
-                    score = max(score, best[0])
+                for _, found in blocks_of(data):
+                    labels.update(index.labels[t] for t in found)
+                    score = max(score, *found.values())
             for col, v in zip(out, (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score)):
                 col.append(v)
         kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]

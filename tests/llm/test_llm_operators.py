@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -396,6 +397,21 @@ def test_license_places_and_labels(spark):
     assert [(x.line, x.label, x.containment) for x in lines] == [(0, "mit", 1.0)]
 
 
+def test_wrapped_templates_keep_their_labels(spark):
+    rows, want = [], {}
+    for k, (label, text) in enumerate(TEMPLATES):
+        for width in (60, 72, 20):
+            i = len(rows)
+            rows.append((i, "Some words before it.\n\n# " + "\n# ".join(textwrap.wrap(text.capitalize() + ".", width)) + "\n\nand then others after it"))
+            # the base phrase of the GPL stands in the LGPL's line
+            want[i] = "gpl,lgpl" if label == "lgpl" else label
+    got = {r.doc_id: r for r in scan_licenses(frame(spark, rows)).collect()}
+    assert {i: r.labels for i, r in got.items()} == want
+    assert all(r.score == 1.0 for r in got.values())
+    lines = scan_licenses(frame(spark, rows[24:25]), blocks=True).collect()
+    assert [(x.line, x.label, x.containment) for x in lines] == [(2, "bsd", 1.0)]
+
+
 # -- 10 ------------------------------------------------------------------------------------
 def slow_lines(rows, min_docs):
     leaves = defaultdict(Counter)

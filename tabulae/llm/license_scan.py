@@ -13,6 +13,9 @@ The template set is code, so it is bounded (``MAX_TEMPLATES``), and goes to the
 the function; documents are never shuffled. Only the counts of the template words, one row
 for each word, are collected.
 
+Every template that is met gives its label, unless all the words that it shares with the block
+stand in a better template that meets there too, as a shorter licence name in a longer one.
+
 Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each on
 its own; extra columns are ignored. Equal labels from several templates are listed once.
 """
@@ -196,10 +199,10 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
                 yield line[x[1]], {x[0]: x[3]}
 
     def hidden(x: tuple, others: list[tuple]) -> bool:
-        """Whether a better template than ``x`` meets there too."""
+        """Whether all that template ``x`` shares stands in a better one that meets there too."""
         t, start, stop, share, shared = x
         rank = (share, len(index.sets[t]))
-        return any((o[3], len(index.sets[o[0]])) > rank and o[1] < stop and start < o[2] for o in others)
+        return any(shared <= o[4] and (o[3], len(index.sets[o[0]])) > rank and o[1] < stop and start < o[2] for o in others)
 
     def as_blocks(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [

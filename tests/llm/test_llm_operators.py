@@ -412,6 +412,13 @@ def test_wrapped_templates_keep_their_labels(spark):
     assert [(x.line, x.label, x.containment) for x in lines] == [(2, "bsd", 1.0)]
 
 
+def test_all_templates_of_a_line_keep_their_labels(spark):
+    text = dict((label, t) for label, t in TEMPLATES)
+    rows = [(1, f"{text['bsd']} {text['mpl']}"), (2, text["bsd"] + "\n" + text["mpl"]), (3, text["cc-by-sa"]), (4, text["cc-by-sa"] + "\n" + text["cc-by"]), (5, text["cc-by-sa"] + "\nLicensed under something else"), (6, "all rights of\nothers are here, and some are kept in a place\nreserved for them")]
+    got = {r.doc_id: r.labels for r in scan_licenses(frame(spark, rows)).collect()}
+    assert got == {1: "bsd,mpl", 2: "bsd,mpl", 3: "cc-by-sa", 4: "cc-by,cc-by-sa", 5: "cc-by-sa", 6: ""}
+
+
 # -- 10 ------------------------------------------------------------------------------------
 def slow_lines(rows, min_docs):
     leaves = defaultdict(Counter)

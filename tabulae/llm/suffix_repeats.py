@@ -21,11 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.llm.anchors import BYTES
+from tabulae.llm.anchors import BYTES, segments
 from tabulae.llm.common import arrow_map, cut, limit_batches
+from tabulae.llm.components import components
 from tabulae.llm.repeat_core import SHIFT, Windows, anchor_rows, chunks_of, covered, fetch, join_runs, keyed, marks_to_documents, scan_rows
 
 CHUNK_BYTES = 1_500_000
@@ -191,19 +194,49 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFr
 
 
 def repeat_groups(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
-    """(group, size, doc_id, start): maximal repeats among segments that share an anchor and
-    differ, with all occurrences; longer repeats come as several overlapping groups."""
+    """(group, size, doc_id, start): maximal repeats of ``length`` bytes or more of the whole
+    corpus, each with all of its occurrences.
+
+    A repeat lies inside spans that ``remove_repeats`` finds, so only these are sorted: spans that
+    share anchors, directly or by others, in one suffix array. Of equal spans two go there, which
+    gives the same repeats, and the second one's occurrences are joined back to all the others.
+    The different spans that are connected by anchors must fit in one task."""
     docs = keyed(docs)
-    asked, _ = _asked_and_marks(docs, length, gram)
-    rows = asked.repartition("bucket").sortWithinPartitions("bucket", "doc", "key", "first")
+    asked, marks = _asked_and_marks(docs, length, gram)
+    rows = marks_to_documents(docs, marks.unionByName(_compare(asked, length)))
+
+    def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple[int, int, int, bytes]] = []
+        for doc, text, marks_ in zip(*(c.to_pylist() for c in batch.columns)):
+            data = text.encode("utf-8", "surrogatepass")
+            for start, stop in covered(marks_, length):
+                out.append((doc, start, xxhash.xxh64_intdigest(data[start:stop]), data[start:stop]))
+        doc, start, name, body = zip(*out) if out else ((),) * 4
+        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(body, pa.binary())], ["doc", "start", "name", "body"])
+
+    found = arrow_map(rows.select("doc", "text", "marks"), spans, "doc long, start long, name long, body binary")
+    nth = F.row_number().over(W.partitionBy("name").orderBy("doc", "start"))
+    found = cut(found.withColumn("nth", nth).withColumn("copy", F.least("nth", F.lit(2))).select("name", "copy", "doc", "start", "nth", "body"), "spans")
+
+    def anchors(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bodies = batch.column(1).to_pylist()
+        s = segments(BYTES[np.frombuffer(b"".join(bodies), np.uint8)], np.array([len(b) for b in bodies], np.int64), length, gram)
+        return pa.record_batch([pa.array(batch.column(0).to_numpy()[s.row]), pa.array(s.anchor)], ["name", "anchor"])
+
+    edges = arrow_map(found.filter("nth = 1").select("name", "body"), anchors, "name long, anchor long")
+    known = components(edges, "name", "anchor").withColumnRenamed("node", "name")
+    rows = found.filter("nth <= 2").join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    rows = rows.select("component", "name", "copy", "doc", "start", "nth", "body").repartition("component").sortWithinPartitions("component", "name", "copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, CHUNK_BYTES):
-            array, table, offset, _ = _bucket_groups(chunk)
-            doc, first = table.column("doc").to_numpy(), table.column("first").to_numpy()
+            table = pa.Table.from_batches(chunk)
+            array = EnhancedSuffixArray(table.column("body").to_pylist())
+            name, copy = table.column("name").to_numpy(), table.column("copy").to_numpy()
             for size, places in array.maximal_repeats(length):
                 string = array.string[places]
-                name = hashlib.sha256(array.text[places[0] : places[0] + size].tobytes()).hexdigest()
-                yield pa.record_batch([pa.array([name] * len(places)), pa.array(np.full(len(places), size)), pa.array(doc[string]), pa.array(first[string] + places - offset[string])], ["group", "size", "doc_id", "start"])
+                group = hashlib.sha256(array.text[places[0] : places[0] + size].tobytes()).hexdigest()
+                yield pa.record_batch([pa.array([group] * len(places)), pa.array(np.full(len(places), size)), pa.array(name[string]), pa.array(copy[string]), pa.array(places - array.begin[places])], ["group", "size", "name", "copy", "offset"])
 
-    return rows.mapInArrow(run, "group string, size long, doc_id long, start long")
+    groups = rows.mapInArrow(run, "group string, size long, name long, copy int, offset long")
+    return groups.join(found.select("name", "copy", "doc", "start"), ["name", "copy"]).select("group", "size", F.col("doc").alias("doc_id"), (F.col("start") + F.col("offset")).alias("start"))

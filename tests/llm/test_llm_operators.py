@@ -120,6 +120,27 @@ def test_repeat_groups_list_all_occurrences(spark):
     assert any(docs == {0, 1, 2} and size >= 14 for (_, size), docs in groups.items())
 
 
+def test_repeat_groups_equal_brute_force(spark):
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, copy = text(70), text(40)
+    rows = [(k, f"{text(9)}{passage}{text(6)}") for k in range(25)] + [(30, copy), (31, copy), (32, copy), (33, "x" + copy[5:30] + "y"), (34, passage[10:50]), (35, text(60)), (36, ""), (37, None)]
+    rows += [(40, "ab" * 20), (41, copy[:20] + passage[:20] + copy[:20])]
+    data = {i: (t or "").encode() for i, t in rows}
+    places = defaultdict(set)
+    for i, b in data.items():
+        for k in range(len(b)):
+            for n in range(14, len(b) - k + 1):
+                places[b[k : k + n]].add((i, k))
+    want = set()
+    for x, ps in places.items():
+        right = {data[i][k + len(x) : k + len(x) + 1] or (i, k) for i, k in ps}
+        left = {data[i][k - 1 : k] or (i, k) for i, k in ps}
+        if len(ps) > 1 and len(right) > 1 and len(left) > 1:
+            want |= {(hashlib.sha256(x).hexdigest(), len(x), i, k) for i, k in ps}
+    assert collected(repeat_groups(frame(spark, rows), 14, 5)) == sorted(want, key=str)
+
+
 # -- 2 -------------------------------------------------------------------------------------
 def test_encoder_is_the_library():
     ours, lib = MergeEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)

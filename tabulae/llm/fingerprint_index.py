@@ -1,8 +1,9 @@
 """Operator 7: incremental substring dedup with a log-structured fingerprint index.
 
 The index holds immutable runs: Parquet files of fingerprints, each sorted by (anchor,
-segment), and the documents they came from. A new batch's fingerprints are merged with the
-runs in that order; equal neighbours are repeats, and unequal segments of one anchor are
+segment), and the documents they came from. A new batch's fingerprints are put together
+with the runs and all are shuffled and sorted again in that order, so a batch's cost grows with the
+history; equal neighbours are repeats, and unequal segments of one anchor are
 verified window by window against the words themselves. Then the batch becomes a run of its
 own, and ``compact`` merges all runs into one, keeping the smallest doc_id of each segment.
 Fingerprints are of segments of windows with a common anchor (``anchors``), not of each

@@ -44,7 +44,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", benchmark), ("SentencePiece", encode)]
-#: SQL can express neither the template tree nor the encoder; tests hold run() against brute force.
+#: SQL can express neither the template tree nor the encoder; each stage has tests of its own, the joint result none by brute force.
 ORACLE_SQL = None
 
 

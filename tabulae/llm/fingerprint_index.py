@@ -1,36 +1,51 @@
 """Operator 7: incremental substring dedup with a log-structured fingerprint index.
 
-The index holds immutable runs: Parquet files of fingerprints, each sorted by (anchor,
-segment), and the documents they came from. A new batch's fingerprints are put together
-with the runs and all are shuffled and sorted again in that order, so a batch's cost grows with the
-history; equal neighbours are repeats, and unequal segments of one anchor are
-verified window by window against the words themselves. Then the batch becomes a run of its
-own, and ``compact`` merges all runs into one, keeping the smallest doc_id of each segment.
+The index is a folder: immutable runs and a manifest, written anew under the next number when
+anything changes, so an index is reopened by its path. A run is one Parquet file for each
+range of anchors (``2**bits`` of them), sorted by (anchor, segment), with the smallest doc_id
+of each segment of windows and its place. A batch's fingerprints are partitioned by the same
+ranges and sorted; each task streams them past its range's files of all runs, which are merged
+in as they come and never sorted or shuffled again. Equal segments are repeats; where a batch's
+segment meets an unequal one of the same anchor, the words of both are read where they lie and
+compared window by window. The task writes what is new as the batch's run. ``compact`` merges
+runs range by range, again without a shuffle.
+
 Fingerprints are of segments of windows with a common anchor (``anchors``), not of each
-window, which keeps a run smaller than the texts.
+window, which keeps a run smaller than the texts. The index keeps no texts: it refers to the
+files of the documents, which must stay.
 
 A window is ``length`` words of one document. A word goes when a window over it also starts
 in a document with a smaller doc_id, in this batch or an earlier one; windows are judged on
 the input. Null texts have no words; texts with fewer words than a window keep them all.
 Rows that share a doc_id never count against each other; a null doc_id counts as the largest.
-Extra columns are ignored.
+A batch with a smaller doc_id than one that is indexed is refused. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulae.llm.common import arrow_map, cut, limit_batches, scratch
-from tabulae.llm.repeat_core import SHIFT, Windows, anchor_rows, covered, fetch, join_runs, keyed, marks_to_documents, scan_rows
+from tabulae.llm.common import cut, limit_batches, scratch
+from tabulae.llm.repeat_core import ASK, ASK_DECIDED, ENTRY, MARK, Windows, anchor_rows, asked_segments, covered, places_of, repeated_digests, scan_rows
+from tabulae.llm.texts import LAST, Texts, filesystem, visit
 
 _SPACES = bytes(32 if 9 <= c <= 13 else c for c in range(256))
+ENTRY_NAMES = ["anchor", "whole", "doc", "loc", "place"]
+ENTRY_TYPE = np.dtype([(n, np.int64) for n in ENTRY_NAMES])
+ENTRY_SCHEMA = pa.schema([(n, pa.int64()) for n in ENTRY_NAMES])
+#: Entries of one run that a task holds while it merges.
+READ_ROWS = 20_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -44,62 +59,201 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((digest(w) for r in rows for w in r), np.uint64, int(sizes.sum())), sizes
 
 
+def _range_of(anchor: int, bits: int) -> int:
+    return (anchor >> (64 - bits)) + (1 << (bits - 1)) if bits else 0
+
+
+class _Run:
+    """The entries of one range of a run, in order, a block at a time."""
+
+    def __init__(self, path: str, name: str) -> None:
+        fs, inner = filesystem(f"{path}/{name}")
+        self.blocks: Iterator = iter(())
+        if fs.get_file_info(inner).type != pafs.FileType.NotFound:
+            self.blocks = pq.ParquetFile(fs.open_input_file(inner), pre_buffer=False).iter_batches(READ_ROWS)
+        self.block = self._next()
+
+    def _next(self) -> np.ndarray:
+        out = np.empty(0, ENTRY_TYPE)
+        for batch in self.blocks:
+            out = np.empty(batch.num_rows, ENTRY_TYPE)
+            for n in ENTRY_NAMES:
+                out[n] = batch.column(n).to_numpy()
+            break
+        return out
+
+    def upto(self, anchor: int, whole: int | None) -> list[np.ndarray]:
+        """Entries at or before (anchor, whole), or all of the anchor, which are then forgotten."""
+        out = []
+        while len(self.block):
+            b = self.block
+            if b["anchor"][-1] < anchor:
+                n = len(b)
+            else:
+                lo, n = np.searchsorted(b["anchor"], anchor), np.searchsorted(b["anchor"], anchor, "right")
+                if whole is not None:
+                    n = lo + np.searchsorted(b["whole"][lo:n], whole, "right")
+            out.append(b[:n])
+            if n < len(b):
+                self.block = b[n:]
+                break
+            self.block = self._next()
+        return out
+
+
+def _file(k: int) -> str:
+    return f"range-{k:06d}.parquet"
+
+
+def _reader(paths: list[str], k: int) -> Callable[[int, int | None], np.ndarray]:
+    runs = [_Run(p, _file(k)) for p in paths]
+
+    def pull(anchor: int, whole: int | None) -> np.ndarray:
+        parts = [x for r in runs for x in r.upto(anchor, whole)]
+        return np.concatenate(parts) if parts else np.empty(0, ENTRY_TYPE)
+
+    return pull
+
+
+class _RunWriter:
+    """One range's file of a new run; it appears under its name only when it is whole, so a task
+    that is repeated leaves the same file."""
+
+    def __init__(self, path: str, k: int) -> None:
+        self.fs, self.inner = filesystem(f"{path}/{_file(k)}")
+        self.attempt = f"{self.inner}.{uuid.uuid4().hex}"
+        self.fs.create_dir(self.inner.rpartition("/")[0], recursive=True)
+        self.stream = self.fs.open_output_stream(self.attempt)
+        self.writer = pq.ParquetWriter(self.stream, ENTRY_SCHEMA, compression="zstd", use_dictionary=False, column_encoding={n: "DELTA_BINARY_PACKED" if n in ("anchor", "doc", "loc") else "PLAIN" for n in ENTRY_NAMES})
+
+    def add(self, columns: list) -> None:
+        self.writer.write_table(pa.Table.from_arrays([pa.array(c) for c in columns], schema=ENTRY_SCHEMA), row_group_size=READ_ROWS * 5)
+
+    def close(self) -> None:
+        self.writer.close()
+        self.stream.close()
+        self.fs.move(self.attempt, self.inner)
+
+
+def _read_manifest(path: str) -> dict | None:
+    fs, inner = filesystem(path)
+    if fs.get_file_info(inner).type == pafs.FileType.NotFound:
+        return None
+    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(inner)) if f.base_name.startswith("manifest-") and f.base_name.endswith(".json"))
+    if not names:
+        return None
+    with fs.open_input_stream(names[-1]) as f:
+        return json.loads(f.read())
+
+
 class FingerprintIndex:
-    """Runs of fingerprints and the documents behind them, in a shared folder."""
+    """Runs of fingerprints in a shared folder. ``length``, ``gram`` and ``bits`` hold for a new
+    index; one that is reopened by its path has those it was made with."""
 
-    def __init__(self, spark, path: str | None = None, length: int = 13, gram: int = 5) -> None:
-        self.spark, self.length, self.gram = spark, length, gram
+    def __init__(self, spark: SparkSession, path: str | None = None, length: int = 13, gram: int = 5, bits: int = 6) -> None:
+        self.spark = spark
         self.path = path or scratch(spark, "fingerprints")
-        self.runs: list[str] = []
-        self.documents: list[DataFrame] = []
-        self._written = 0
+        self.state = _read_manifest(self.path) or {"version": 0, "length": length, "gram": gram, "bits": bits, "runs": [], "written": 0, "files": {}, "largest": None}
+
+    @property
+    def runs(self) -> list[str]:
+        return [f"{self.path}/{r}" for r in self.state["runs"]]
 
-    def _write(self, rows: DataFrame) -> str:
-        self._written += 1
-        path = f"{self.path}/run-{self._written:05d}"
-        rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc").write.parquet(path)
-        return path
+    def _commit(self, **changes) -> None:
+        """The next manifest; a reader sees the one before until it is whole."""
+        self.state |= changes | {"version": self.state["version"] + 1}
+        fs, inner = filesystem(self.path)
+        fs.create_dir(inner, recursive=True)
+        name = f"{inner}/manifest-{self.state['version']:08d}.json"
+        with fs.open_output_stream(f"{name}.part") as f:
+            f.write(json.dumps(self.state).encode())
+        fs.move(f"{name}.part", name)
 
-    def _windows(self) -> Windows:
-        return Windows(self.length, self.gram, _symbols, earlier=True)
+    def _new_run(self) -> str:
+        self.state["written"] += 1
+        return f"run-{self.state['written']:06d}"
 
     def add(self, docs: DataFrame, keep: bool = True) -> DataFrame:
-        """doc_id, n_words, n_removed, kept_sha256 of a batch whose doc_ids are not
-        smaller than those indexed. With ``keep`` the batch is indexed too."""
-        batch = keyed(docs)
-        rows = anchor_rows(batch, self._windows())
+        """doc_id, n_words, n_removed, kept_sha256 of a batch whose doc_ids are not smaller than
+        those indexed. With ``keep`` the batch is indexed too."""
+        state = self.state
+        length, bits = state["length"], state["bits"]
+        least, most = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc")).agg(F.min("doc"), F.max("doc")).first()
+        if least is not None and state["largest"] is not None and least < state["largest"]:
+            raise ValueError(f"doc_id {least} is smaller than {state['largest']}, which is indexed")
+        texts = Texts(docs, first=len(state["files"]))
+        files = {int(k): v for k, v in state["files"].items()} | texts.paths
+        rows = anchor_rows(texts, Windows(length, state["gram"], _symbols, earlier=True))
+        bucket = F.shiftright("anchor", 64 - bits) + F.lit(1 << (bits - 1))
+        rows = rows.repartitionById(1 << bits, bucket.cast("int")).sortWithinPartitions("anchor", "whole", "doc", "loc", "place")
+        older, run = self.runs, self._new_run()
+        scanned = scan_rows(rows, earlier=True, history=lambda anchor: _reader(older, _range_of(anchor, bits)))
+        found = cut(self._written(scanned, f"{self.path}/{run}", bits, keep), "found")
+        marks = found.filter(F.col("kind") == MARK).select("loc", "place").unionByName(self._verified(files, found.filter(F.col("kind").isin(ASK, ASK_DECIDED)), length))
         if keep:
-            rows = cut(rows, "batch")
-            fresh = rows.filter("kind = 0")
-        merged = rows
-        for run in self.runs:
-            merged = merged.unionByName(self.spark.read.parquet(run))
-        everything = batch
-        for older in self.documents:
-            everything = everything.unionByName(older)
-        found = cut(scan_rows(merged, earlier=True), "found")
-        verified = self._verify(everything, found.filter("kind = 2"))
-        marks = found.filter("kind = 1").select("key", "place").unionByName(verified)
-        out = self._finish(marks_to_documents(batch, marks))
-        if keep:
-            self.runs.append(self._write(fresh))
-            self.documents.append(batch)
-            out = cut(out, "kept")
-        return out
+            largest = most if state["largest"] is None or most is not None and most > state["largest"] else state["largest"]
+            self._commit(runs=[*state["runs"], run], files={str(k): v for k, v in files.items()}, largest=largest)
+        return self._finish(texts, marks, length)
+
+    def _written(self, rows: DataFrame, path: str, bits: int, keep: bool) -> DataFrame:
+        """``rows`` without the new entries, which each task writes as its range's file."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            writer = None
+            for batch in batches:
+                entry = np.asarray(batch.column(0)) == ENTRY
+                if keep and entry.any():
+                    new = batch.filter(pa.array(entry))
+                    if writer is None:
+                        writer = _RunWriter(path, _range_of(new.column(1)[0].as_py(), bits))
+                    writer.add(new.columns[1:])
+                yield batch.filter(pa.array(~entry))
+            if writer is not None:
+                writer.close()
+
+        return rows.mapInArrow(run, rows.schema)
 
     def compact(self) -> None:
-        """Merge all runs into one; of equal segments the smallest doc_id's stays."""
-        if len(self.runs) < 2:
+        """Merge all runs into one, range by range; of equal segments the smallest doc_id stays."""
+        if len(self.state["runs"]) < 2:
             return
-        rows = self.spark.read.parquet(*self.runs)
-        least = rows.groupBy("anchor", "whole").agg(F.min("doc").alias("doc"))
-        self.runs = [self._write(rows.join(least, ["anchor", "whole", "doc"]).select(rows.columns))]
+        older, run, bits = self.runs, self._new_run(), self.state["bits"]
+        target = f"{self.path}/{run}"
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = 0
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    runs = [_Run(p, _file(k)) for p in older]
+                    writer, last = None, None
+                    while any(len(r.block) for r in runs):
+                        # up to the nearest end of a block all entries are at hand
+                        end = min((int(r.block["anchor"][-1]), int(r.block["whole"][-1])) for r in runs if len(r.block))
+                        rows = np.concatenate([x for r in runs for x in r.upto(*end)])
+                        rows = rows[np.lexsort((rows["place"], rows["loc"], rows["doc"], rows["whole"], rows["anchor"]))]
+                        pair = np.stack([rows["anchor"], rows["whole"]], axis=1)
+                        new = np.concatenate([[last is None or tuple(pair[0]) != last], (pair[1:] != pair[:-1]).any(1)])
+                        last = tuple(pair[-1])
+                        rows = rows[new]
+                        if len(rows):
+                            writer = writer or _RunWriter(target, k)
+                            writer.add([np.ascontiguousarray(rows[c]) for c in ENTRY_NAMES])
+                            n += len(rows)
+                    if writer is not None:
+                        writer.close()
+            yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
+
+        self.spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(merge, "n long").agg(F.sum("n")).collect()
+        self._commit(runs=[run])
+        for path in older:
+            fs, inner = filesystem(path)
+            if fs.get_file_info(inner).type != pafs.FileType.NotFound:
+                fs.delete_dir(inner)
 
-    def _verify(self, docs: DataFrame, asked: DataFrame) -> DataFrame:
-        """Marks of windows whose words stand in a smaller doc_id, by their full digest."""
-        length = self.length
+    def _verified(self, files: dict[int, str], asked: DataFrame, length: int) -> DataFrame:
+        """Marks of windows whose words stand in a smaller doc_id."""
 
-        def texts(text: str, places: list[tuple[int, int]]) -> list[bytes]:
+        def bodies(text: str, places: list[tuple[int, int]]) -> list[bytes]:
             words = words_of(text)
             return [b" ".join(words[f : f + c + length - 1]) for f, c in places]
 
@@ -107,58 +261,44 @@ class FingerprintIndex:
             words = body.split(b" ")
             return [b" ".join(words[k : k + length]) for k in range(len(words) - length + 1)]
 
-        # a segment goes to any task: each of its windows travels by its own digest afterwards
-        rows = fetch(docs, asked, texts, split).select("doc", "key", "first", "body")
-        limit_batches(self.spark, 2000)
+        return repeated_digests(asked_segments(self.spark, files, asked, bodies), split, earlier=True)
 
-        def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                digests, docs_, keys, firsts = [], [], [], []
-                for d, k, f, body in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    for n, w in enumerate(split(body)):
-                        digests.append(hashlib.blake2b(w, digest_size=16).digest())
-                        docs_.append(d)
-                        keys.append(k)
-                        firsts.append(f + n)
-                yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(docs_, pa.int64()), pa.array(keys, pa.int64()), pa.array(firsts, pa.int64())], ["digest", "doc", "key", "first"])
+    def _finish(self, texts: Texts, marks: DataFrame, length: int) -> DataFrame:
+        kinds = [*[pa.int64()] * 3, pa.string()]
 
-        windows = rows.mapInArrow(explode, "digest binary, doc long, key long, first long")
-        windows = windows.repartition("digest").sortWithinPartitions("digest", "doc", "key", "first")
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last, lowest = None, None
-            for b in batches:
-                keys, firsts = [], []
-                for g, d, k, f in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    if g != last:
-                        last, lowest = g, d
-                    elif d > lowest:
-                        keys.append(k)
-                        firsts.append(f)
-                if keys:
-                    key, first = np.array(keys, np.int64), np.array(firsts, np.int64)
-                    row, f, c = join_runs(key, first, np.ones(len(key), np.int64))
-                    yield pa.record_batch([pa.array(key[row]), pa.array(f << SHIFT | c)], ["key", "place"])
-
-        return windows.mapInArrow(merge, "key long, place long")
-
-    def _finish(self, rows: DataFrame) -> DataFrame:
-        length = self.length
-
-        def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out: list[list] = [[] for _ in range(3)]
-            for text, marks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        def finish(doc_ids, texts_, _, index, rows) -> Iterator[pa.RecordBatch]:
+            out: list[list] = [[] for _ in kinds]
+            for doc, text, places in zip(doc_ids, texts_, places_of(rows, index, len(texts_))):
                 words = words_of(text)
                 n = len(words)
-                for start, stop in reversed(covered(marks, length)):
+                for start, stop in reversed(covered(places, length)):
                     del words[start:stop]
-                for col, v in zip(out, (n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest())):
+                for col, v in zip(out, (doc, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest())):
                     col.append(v)
-            return pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-        return arrow_map(rows.select("doc_id", "text", "marks"), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+        return visit(self.spark, texts.paths, texts.headers().unionByName(marks), finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def remove_earlier_windows(docs: DataFrame, length: int = 13, gram: int = 5) -> DataFrame:
-    """All of ``docs`` as one batch against an empty index."""
-    return FingerprintIndex(docs.sparkSession, length=length, gram=gram).add(docs, keep=False)
+def remove_earlier_windows(docs: DataFrame, length: int = 13, gram: int = 5, batches: int = 3) -> DataFrame:
+    """All of ``docs`` through an index, in ``batches`` by doc_id: each is merged with the runs of
+    those before, which are compacted, and the index reopened, before the last one."""
+    spark = docs.sparkSession
+    index = FingerprintIndex(spark, length=length, gram=gram)
+    doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(doc, shares).alias("x")).first().x or [])) if shares else []
+    out = None
+    for k in range(len(cuts) + 1):
+        # bounds are half open, so rows that share a doc_id stand in one batch
+        part = docs
+        if k:
+            part = part.filter(doc > cuts[k - 1])
+        if k < len(cuts):
+            part = part.filter(doc <= cuts[k])
+        if k and k == len(cuts):
+            index.compact()
+            index = FingerprintIndex(spark, index.path)
+        result = index.add(part)
+        out = result if out is None else out.unionByName(result)
+    return out

@@ -7,15 +7,17 @@ share.
 2. ``scan_rows``: rows sorted by (anchor, segment) stream past. Segments that are equal as a
    whole are marked. Where one anchor has several different segments, one of each kind goes
    on, since some of their windows may still be equal. State is one row, whatever the group.
-3. ``fetch``: the texts of those segments, which are few: the borders of repeated runs.
-   Anchors with more than ``HOT`` segments are split by the windows' own hashes.
+   Sorted runs of earlier batches (operator 7) are read along with the rows and merged in.
+3. ``asked_windows``: the texts of those segments, which are few: the borders of repeated runs.
+   Texts are read where they lie (``texts``), never shuffled.
 
-Rows are matched by ``key``, a hash of (doc_id, text), so rows that share a doc_id but not
-their text are kept apart, and equal rows get equal marks.
+Segments are equal when both their anchor's and their own 64-bit hash agree, 128 bits in all:
+among 1e13 segments two unequal ones agree with probability about 1e-12.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -24,15 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulae.llm.anchors import segments
+from tabulae.llm.anchors import mix, segments
 from tabulae.llm.common import BATCH_ROWS, limit_batches
+from tabulae.llm.texts import Texts, visit
 
 HOT = 20_000
 FLUSH = 400_000
-ROWS = "kind int, anchor long, whole long, doc long, key long, place long, many boolean"
-FIELDS = ["kind", "anchor", "whole", "doc", "key", "place", "many"]
+#: kinds of rows: a segment, one that is known to repeat; then marks, segments to compare, those
+#: of them that are decided already, and entries of a run
+SEGMENT, REPEATED, MARK, ASK, ASK_DECIDED, ENTRY = range(6)
+ROWS = "kind int, anchor long, whole long, doc long, loc long, place long"
+FIELDS = ["kind", "anchor", "whole", "doc", "loc", "place"]
+TYPES = (np.int32, *[np.int64] * 5)
 #: ``place`` packs the first window and the number of windows.
 SHIFT = 12
+LIMIT = (1 << SHIFT) - 1
 
 
 class Windows(NamedTuple):
@@ -53,47 +61,45 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].alias("doc_id"), doc, text).select("doc_id", "doc", F.xxhash64("doc", "text").alias("key"), "text")
 
 
-def _batch(kind, anchor, whole, doc, key, place, many) -> pa.RecordBatch:
+def _batch(kind, anchor, whole, doc, loc, place) -> pa.RecordBatch:
     n = len(doc)
-    full = lambda v, t: np.full(n, v, t) if np.isscalar(v) else v
-    return pa.record_batch([pa.array(full(kind, np.int32)), pa.array(full(anchor, np.int64)), pa.array(full(whole, np.int64)), pa.array(doc), pa.array(key), pa.array(place), pa.array(full(many, np.bool_))], FIELDS)
+    return pa.record_batch([pa.array(np.ascontiguousarray(np.broadcast_to(np.asarray(v, t), n))) for v, t in zip((kind, anchor, whole, doc, loc, place), TYPES)], FIELDS)
 
 
-def join_runs(key: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def join_runs(loc: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows that follow each other in one row, as (index of the row's entry, first, count)."""
-    if not len(key):
-        return key, first, count
-    order = np.lexsort((first, key))
-    k, f, e = key[order], first[order], first[order] + count[order]
+    if not len(loc):
+        return loc, first, count
+    order = np.lexsort((first, loc))
+    k, f, e = loc[order], first[order], first[order] + count[order]
     # segments of one row are equal or apart, so the end before is the largest so far
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] > e[:-1])])
     at = np.flatnonzero(new)
     return order[at], f[at], np.maximum.reduceat(e, at) - f[at]
 
 
-def marks_of(doc: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 1: windows that are repeated for certain. Long runs take several rows."""
-    if len(doc):
-        limit = (1 << SHIFT) - 1
-        parts = -(-count // limit)
-        idx = np.repeat(np.arange(len(doc)), parts)
-        n = np.arange(len(idx)) - np.repeat(np.cumsum(parts) - parts, parts)
-        f = first[idx] + n * limit
-        c = np.minimum(limit, first[idx] + count[idx] - f)
-        # their ``anchor`` only spreads them
-        yield _batch(1, key[idx] ^ n, 0, doc[idx], key[idx], f << SHIFT | c, False)
+def packed(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, place) of runs of windows: one with more windows than a place holds takes several."""
+    parts = -(-count // LIMIT)
+    idx = np.repeat(np.arange(len(first)), parts)
+    n = np.arange(len(idx)) - np.repeat(np.cumsum(parts) - parts, parts)
+    f = first[idx] + n * LIMIT
+    return idx, f << SHIFT | np.minimum(LIMIT, first[idx] + count[idx] - f)
 
 
-def anchor_rows(docs: DataFrame, windows: Windows) -> DataFrame:
-    """Rows of ``ROWS``: kind 0, segments to compare; kind 1, marks. ``docs`` is ``keyed``."""
-    limit_batches(docs.sparkSession, BATCH_ROWS)
+def anchor_rows(texts: Texts, windows: Windows) -> DataFrame:
+    """Rows of ``ROWS``: segments to compare and marks."""
+    rows = texts.rows.select("doc", "loc", "text")
+    limit_batches(rows.sparkSession, BATCH_ROWS)
     length, gram, symbols, earlier = windows
+    if length - gram + 2 > LIMIT:
+        raise ValueError(f"segments of more than {LIMIT} windows: raise gram or lower length")
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, key, first, count, anchor, whole = (np.concatenate(x) for x in zip(*held))
+        doc, loc, first, count, anchor, whole = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        order = np.lexsort((first, doc, whole, anchor))
-        doc, key, first, count, anchor, whole = (x[order] for x in (doc, key, first, count, anchor, whole))
+        order = np.lexsort((first, loc, doc, whole, anchor))
+        doc, loc, first, count, anchor, whole = (x[order] for x in (doc, loc, first, count, anchor, whole))
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
         group = np.cumsum(new) - 1
         at = np.flatnonzero(new)
@@ -101,10 +107,12 @@ def anchor_rows(docs: DataFrame, windows: Windows) -> DataFrame:
         # earlier: all but those in the smallest doc are repeats. Else all of several are, and one goes on
         sure = doc > doc[at][group] if earlier else many[group]
         send = ~sure if earlier else new
-        rows, f, c = join_runs(key[sure], first[sure], count[sure])
-        picked = np.flatnonzero(sure)[rows]
-        yield from marks_of(doc[picked], key[picked], f, c)
-        yield _batch(0, anchor[send], whole[send], doc[send], key[send], first[send] << SHIFT | count[send], many[group][send])
+        row, f, c = join_runs(loc[sure], first[sure], count[sure])
+        picked = np.flatnonzero(sure)[row]
+        idx, place = packed(f, c)
+        # the ``anchor`` of a mark only spreads it
+        yield _batch(MARK, mix((loc[picked][idx] * 0x9E3779B1 ^ place).view(np.uint64)).view(np.int64), 0, doc[picked][idx], loc[picked][idx], place)
+        yield _batch(np.where(many[group][send], REPEATED, SEGMENT), anchor[send], whole[send], doc[send], loc[send], first[send] << SHIFT | count[send])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -113,10 +121,10 @@ def anchor_rows(docs: DataFrame, windows: Windows) -> DataFrame:
             for at in range(0, whole_batch.num_rows, BATCH_ROWS):
                 batch = whole_batch.slice(at, BATCH_ROWS)
                 s = segments(*symbols(batch.column(2).to_pylist()), length, gram)
-                doc, key = batch.column(0).to_numpy()[s.row], batch.column(1).to_numpy()[s.row]
+                doc, loc = batch.column(0).to_numpy()[s.row], batch.column(1).to_numpy()[s.row]
                 if not len(doc):
                     continue
-                held.append((doc, key, s.start, s.windows, s.anchor, s.whole))
+                held.append((doc, loc, s.start, s.windows, s.anchor, s.whole))
                 size += len(doc)
                 if size > FLUSH:
                     yield from flush(held)
@@ -124,33 +132,58 @@ def anchor_rows(docs: DataFrame, windows: Windows) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.select("doc", "key", "text").mapInArrow(run, ROWS)
+    return rows.mapInArrow(run, ROWS)
 
 
-def scan_rows(rows: DataFrame, earlier: bool) -> DataFrame:
-    """Rows of ``ROWS`` again: kind 1, marks; kind 2, segments whose windows must be compared,
-    with ``many`` for those whose own windows are still undecided."""
-    limit_batches(rows.sparkSession, BATCH_ROWS)
-    rows = rows.repartition("anchor").sortWithinPartitions("kind", "anchor", "whole", "doc", "key", "place")
+def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -> DataFrame:
+    """Rows of ``ROWS``: marks, segments whose windows must be compared, and, for an index, the
+    entries that are new. ``history`` opens the sorted entries of earlier runs: called with a
+    partition's first anchor it gives a function that returns, and forgets, all that come before
+    or at (anchor, whole). ``rows`` is partitioned and sorted already if ``history`` is given."""
+    limit_batches(rows.sparkSession, BATCH_ROWS * 10)
+    if history is None:
+        rows = rows.repartition("anchor").sortWithinPartitions("anchor", "whole", "doc", "loc", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pull = None
         last: dict[str, np.ndarray] | None = None  # the row before, not judged yet
         before: tuple | None = None  # anchor, whole, smallest doc of the row before ``last``
-        waiting: tuple | None = None  # first segment of the anchor, until a second kind shows
+        waiting: dict[str, np.ndarray] | None = None  # asks of the last anchor that wait for a reason
         held: list[dict[str, np.ndarray]] = []
         size = 0
+        old_kind = ENTRY
+
+        def merged(r: dict[str, np.ndarray], final: bool) -> dict[str, np.ndarray]:
+            """The rows with those of earlier runs that stand in the same anchors."""
+            nonlocal pull
+            if history is None or not len(r["anchor"]) and pull is None:
+                return r
+            if pull is None:
+                pull = history(int(r["anchor"][0]))
+            known = np.unique(r["anchor"]) if before is None and last is None else np.unique(np.append(r["anchor"], last["anchor"][-1] if last is not None else before[0]))
+            end = int(known[-1])
+            old = pull(end, None if final else int(r["whole"][-1]) if len(r["whole"]) and r["anchor"][-1] == end else None)
+            if not len(old):
+                return r
+            at = np.minimum(np.searchsorted(known, old["anchor"]), len(known) - 1)
+            old = old[known[at] == old["anchor"]]
+            both = {k: np.concatenate([np.full(len(old), old_kind, np.int32) if k == "kind" else old[k], r[k]]) for k in FIELDS}
+            order = np.lexsort((both["place"], both["loc"], both["doc"], both["whole"], both["anchor"]))
+            return {k: v[order] for k, v in both.items()}
 
         def judge(r: dict[str, np.ndarray], final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal last, before, waiting
+            r = merged(r, final)
             if last is not None:
                 r = {k: np.concatenate([last[k], r[k]]) for k in FIELDS}
             n = len(r["doc"]) - (not final)
-            last = None if final else {k: v[n:] for k, v in r.items()}
-            if not n:
+            if n <= 0:
+                last = r if len(r["doc"]) else last
                 return
+            last = None if final else {k: v[n:] for k, v in r.items()}
             a, w, d = r["anchor"], r["whole"], r["doc"]
-            new_a = np.empty(len(a), bool)
-            new_w = np.empty(len(a), bool)
+            old = r["kind"] == old_kind
+            new_a, new_w = np.empty(len(a), bool), np.empty(len(a), bool)
             new_a[1:] = a[1:] != a[:-1]
             new_w[1:] = new_a[1:] | (w[1:] != w[:-1])
             new_a[0] = before is None or before[0] != a[0]
@@ -161,47 +194,44 @@ def scan_rows(rows: DataFrame, earlier: bool) -> DataFrame:
             if before is not None:
                 lowest[group < 0] = before[2]
             before = (a[n - 1], w[n - 1], lowest[n - 1])
-            following = np.append(~new_w[1:], False)
             if earlier:
-                sure = d > lowest
-                undecided = ~sure
-                ask = undecided & ~new_a
+                sure = (d > lowest) & ~old
+                undecided = ~sure & ~old
+                ask = undecided | (old & new_w)
             else:
-                sure = r["many"] | ~new_w | following
+                sure = (r["kind"] == REPEATED) | ~new_w | np.append(~new_w[1:], False)
                 undecided = ~sure
-                ask = new_w & ~new_a
-            a_at = np.flatnonzero(new_a[:n])
+                ask = new_w.copy()
+            entry = (new_w & ~old)[:n]
+            a, sure, ask, undecided, new_a, new_w = (x[:n] for x in (a, sure, ask, undecided, new_a, new_w))
             cols = {k: v[:n] for k, v in r.items()}
-            sure, ask, undecided = sure[:n], ask[:n], undecided[:n]
-            second = (new_w & ~new_a)[:n]
-            firsts: list[tuple] = []
-            # the anchor that began in an earlier batch
-            head = a_at[0] if len(a_at) else n
-            if waiting is not None and second[:head].any():
-                firsts.append(waiting)
-                waiting = None
-            if len(a_at):
-                has = np.maximum.reduceat(second, a_at)
+            # an anchor is asked about if it has a second kind of segment, and one that is undecided
+            number = np.cumsum(new_a)
+            kinds = np.bincount(number, new_w & ~new_a, minlength=number[-1] + 1)
+            open_ = np.bincount(number, undecided, minlength=number[-1] + 1)
+            asks = {k: v[ask] for k, v in cols.items()} | {"undecided": undecided[ask], "number": number[ask]}
+            if waiting is not None:
+                kinds[0] += waiting.pop("kinds")
+                open_[0] += waiting.pop("open")
+                asks = {k: np.concatenate([waiting[k] if k != "number" else np.zeros(len(waiting["doc"]), np.int64), asks[k]]) for k in asks}
                 waiting = None
-                for i in a_at[has].tolist():
-                    firsts.append((*(cols[k][i] for k in FIELDS[1:6]), undecided[i]))
-                if not has[-1]:
-                    i = a_at[-1]
-                    waiting = (*(cols[k][i] for k in FIELDS[1:6]), undecided[i])
-            if firsts:
-                x = list(zip(*firsts))
-                yield _batch(2, *(np.array(c, np.int64) for c in x[:5]), np.array(x[5], np.bool_))
-            if ask.any():
-                yield _batch(2, *(cols[k][ask] for k in FIELDS[1:6]), undecided[ask])
+            good = (kinds > 0) & (open_ > 0)
+            ready = good[asks["number"]]
+            tail = (asks["number"] == number[-1]) & ~ready
+            if not final:
+                waiting = {k: v[tail] for k, v in asks.items()} | {"kinds": kinds[number[-1]], "open": open_[number[-1]]}
+            if ready.any():
+                yield _batch(np.where(asks["undecided"][ready], ASK, ASK_DECIDED), *(asks[k][ready] for k in FIELDS[1:]))
             if sure.any():
-                place = cols["place"][sure]
-                yield _batch(1, 0, 0, cols["doc"][sure], cols["key"][sure], place, False)
+                yield _batch(MARK, 0, 0, cols["doc"][sure], cols["loc"][sure], cols["place"][sure])
+            if history is not None and entry.any():
+                yield _batch(ENTRY, *(cols[k][entry] for k in FIELDS[1:]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             r = {k: batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in FIELDS}
-            done = r["kind"] == 1
+            done = r["kind"] == MARK
             if done.any():
                 yield batch.filter(pa.array(done)).select(FIELDS)
                 r = {k: v[~done] for k, v in r.items()}
@@ -211,55 +241,111 @@ def scan_rows(rows: DataFrame, earlier: bool) -> DataFrame:
                 yield from judge({k: np.concatenate([h[k] for h in held]) for k in FIELDS}, False)
                 held, size = [], 0
         if held or last is not None:
-            empty = {k: np.zeros(0, t) for k, t in zip(FIELDS, (np.int32, *[np.int64] * 5, np.bool_))}
+            empty = {k: np.zeros(0, t) for k, t in zip(FIELDS, TYPES)}
             yield from judge({k: np.concatenate([empty[k], *(h[k] for h in held)]) for k in FIELDS}, True)
 
     return rows.mapInArrow(run, ROWS)
 
 
-def fetch(docs: DataFrame, asked: DataFrame, cut_text: Callable[[str, list[tuple[int, int]]], list[bytes]], one_window: Callable[[bytes], list[bytes]]) -> DataFrame:
-    """(bucket, doc, key, first, windows, undecided, body) of the segments asked for.
-
-    ``cut_text`` gives the bodies of (first window, number of windows) of a text, and
-    ``one_window`` splits a body into its windows, for anchors with very many segments."""
-    crowd = asked.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor", F.ceil(F.col("n") * 40 / HOT).cast("long").alias("parts"))
-    asked = asked.join(crowd, "anchor", "left").select("anchor", F.coalesce("parts", F.lit(1)).alias("parts"), "key", "place", "many")
-    # one row for each document: its segments are no more than its own length
-    wanted = asked.groupBy("key").agg(F.collect_list(F.struct("anchor", "parts", "place", "many")).alias("asked"))
-    rows = docs.select("doc", "key", "text").join(wanted.hint("shuffle_hash"), "key")
-    limit_batches(docs.sparkSession, BATCH_ROWS)
+def asked_segments(spark, paths: dict[int, str], asked: DataFrame, cut_text: Callable[[str, list[tuple[int, int]]], list[bytes]]) -> DataFrame:
+    """(anchor, doc, loc, first, windows, undecided, body) of the rows (kind, anchor, doc, loc,
+    place) asked for. ``cut_text`` gives the bodies of (first window, number of windows) of a text."""
+    wanted = asked.select("loc", "place", "anchor", "doc", F.col("kind").cast("long").alias("kind"))
+    names = ["anchor", "doc", "loc", "first", "windows", "undecided", "body"]
+
+    def show(_, texts, locs, index, rows) -> Iterator[pa.RecordBatch]:
+        first, count = rows[:, 1] >> SHIFT, rows[:, 1] & LIMIT
+        bodies: list[bytes] = []
+        for k, text in enumerate(texts):
+            mine = slice(*np.searchsorted(index, (k, k + 1)))
+            bodies += cut_text(text, list(zip(first[mine].tolist(), count[mine].tolist())))
+        anchor, doc, loc = (np.ascontiguousarray(rows[:, k]) for k in (2, 3, 0))
+        yield pa.record_batch([*map(pa.array, (anchor, doc, loc, first, count, rows[:, 4] == ASK)), pa.array(bodies, pa.binary())], names)
+
+    return visit(spark, paths, wanted, show, "anchor long, doc long, loc long, first long, windows long, undecided boolean, body binary")
+
+
+def repeated_digests(segments_: DataFrame, split: Callable[[bytes], list[bytes]], earlier: bool) -> DataFrame:
+    """Marks (loc, place) of the undecided windows of ``asked_segments`` that stand elsewhere, or
+    in a smaller doc, by their 128-bit digests. A task merges its equal windows first, so a window
+    of a third of all segments sends few rows to its digest; then rows stream past in order."""
+    limit_batches(segments_.sparkSession, BATCH_ROWS * 10)
+    schema = "digest binary, doc long, loc long, first long, state int"
+    names = ["digest", "doc", "loc", "first", "state"]
+
+    def marks(loc: list[int], first: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at, f, c = join_runs(np.array(loc, np.int64), np.array(first, np.int64), np.ones(len(loc), np.int64))
+        idx, place = packed(f, c)
+        return np.array(loc, np.int64)[at][idx], place
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """States: 0 undecided, 1 decided, 2 undecided and known to repeat, 3 a mark (``first`` is its place)."""
+        held: dict[bytes, list[tuple[int, int, int, bool]]] = {}
+        size = 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << SHIFT) - 1
-        names = ["bucket", "doc", "key", "first", "windows", "undecided", "body"]
-        kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
-        for whole in batches:
-            for row in whole.to_batches() if isinstance(whole, pa.Table) else [whole]:
-                for at in range(0, row.num_rows, 100):
-                    out: list[list] = [[] for _ in names]
-                    for r in row.slice(at, 100).to_pylist():
-                        places = [(x["place"] >> SHIFT, x["place"] & mask) for x in r["asked"]]
-                        for x, (first, count), body in zip(r["asked"], places, cut_text(r["text"], places)):
-                            if x["parts"] == 1:
-                                rows_ = [(x["anchor"], first, count, body)]
-                            else:
-                                rows_ = [(hash((x["anchor"], spread(b) % x["parts"])), first + k, 1, b) for k, b in enumerate(one_window(body))]
-                            for bucket, f, c, b in rows_:
-                                for col, v in zip(out, (bucket, r["doc"], r["key"], f, c, x["many"], b)):
-                                    col.append(v)
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names)
-
-    return rows.mapInArrow(run, "bucket long, doc long, key long, first long, windows long, undecided boolean, body binary")
-
-
-def spread(body: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(body)
+        def flush() -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            loc, first = [], []
+            for g, rows in held.items():
+                rows.sort()
+                low = rows[0][0]
+                for k, (doc, at, f, undecided) in enumerate(rows):
+                    if (doc > low if earlier else len(rows) > 1) and undecided:
+                        loc.append(at)
+                        first.append(f)
+                    if not k or earlier and doc == low and undecided:
+                        # what is marked here goes on as decided; others must learn that it repeats
+                        state = 1 if not undecided or not earlier and len(rows) > 1 else 0
+                        out.append((g, doc, at, f, state))
+            held.clear()
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), *[pa.int64()] * 3, pa.int32()))], names)
+            if loc:
+                at, place = marks(loc, first)
+                yield pa.record_batch([pa.array([int(x).to_bytes(8, "little", signed=True) for x in at], pa.binary()), pa.array(at), pa.array(at), pa.array(place), pa.array(np.full(len(at), 3, np.int32))], names)
+
+        for b in batches:
+            for doc, at, f, undecided, body in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for n, w in enumerate(split(body)):
+                    held.setdefault(hashlib.blake2b(w, digest_size=16).digest(), []).append((doc, at, f + n, undecided))
+                    size += 1
+            if size > 200_000:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    rows = segments_.select("doc", "loc", "first", "undecided", "body").mapInArrow(spread, schema)
+    rows = rows.repartition("digest").sortWithinPartitions("digest", "doc", "loc", "first")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, lowest, wait = None, 0, None
+        for b in batches:
+            loc, first, ready = [], [], []
+            for g, d, at, f, state in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if state == 3:
+                    ready.append((at, f))
+                elif g != last:
+                    last, lowest, wait = g, d, (at, f) if state == 0 else None
+                else:
+                    if not earlier and wait is not None:
+                        loc.append(wait[0])
+                        first.append(wait[1])
+                        wait = None
+                    if state == 0 and (not earlier or d > lowest):
+                        loc.append(at)
+                        first.append(f)
+            at, place = marks(loc, first)
+            if ready:
+                at, place = np.append(at, [x for x, _ in ready]), np.append(place, [x for _, x in ready])
+            if len(at):
+                yield pa.record_batch([pa.array(at), pa.array(place)], ["loc", "place"])
+
+    return rows.mapInArrow(merge, "loc long, place long")
 
 
 def chunks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
-    """Whole buckets, together about ``limit`` bytes of bodies, of batches sorted by bucket."""
+    """Whole buckets (first column), together about ``limit`` bytes of bodies (last column), of
+    batches sorted by bucket."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
@@ -274,25 +360,23 @@ def chunks_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa
                 yield held
                 held, size, batch = [], 0, batch.slice(border[0])
         held.append(batch)
-        size += int(batch.column(6).nbytes)
+        size += int(batch.column(batch.num_columns - 1).nbytes)
     if held:
         yield held
 
 
-def marks_to_documents(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """``docs`` with ``marks``: its array of (first window, number of windows), null for none."""
-    # one row for each marked document, no longer than the document itself
-    per_doc = marks.groupBy("key").agg(F.collect_list("place").alias("marks"))
-    return docs.join(per_doc.hint("shuffle_hash"), "key", "left")
+def places_of(rows: np.ndarray, index: np.ndarray, n: int) -> list[np.ndarray]:
+    """The places of each of ``n`` documents that ``visit`` shows, without the headers' -1."""
+    return [x[x >= 0] for x in np.split(rows[:, 1], np.searchsorted(index, np.arange(1, n)))]
 
 
-def covered(marks: list[int] | None, length: int) -> list[tuple[int, int]]:
+def covered(place: np.ndarray, length: int) -> list[tuple[int, int]]:
     """The maximal runs (start, stop) of symbols that the marked windows cover."""
-    if not marks:
+    if not len(place):
         return []
-    place = np.unique(np.array(marks, np.int64))
+    place = np.unique(place)
     first = place >> SHIFT
-    stop = first + (place & ((1 << SHIFT) - 1)) + length - 1
+    stop = first + (place & LIMIT) + length - 1
     top = np.maximum.accumulate(stop)
     new = np.flatnonzero(np.concatenate([[True], first[1:] > top[:-1]]))
     return list(zip(first[new].tolist(), np.maximum.reduceat(stop, new).tolist()))

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from tabulae.llm.anchors import BYTES, segments
 from tabulae.llm.common import arrow_map, cut, limit_batches
 from tabulae.llm.components import components
-from tabulae.llm.repeat_core import SHIFT, Windows, anchor_rows, chunks_of, covered, fetch, join_runs, keyed, marks_to_documents, scan_rows
+from tabulae.llm.repeat_core import ASK, ASK_DECIDED, HOT, MARK, Windows, anchor_rows, asked_segments, chunks_of, covered, join_runs, packed, places_of, repeated_digests, scan_rows
+from tabulae.llm.texts import LAST, Texts, visit
 
 CHUNK_BYTES = 1_500_000
 
@@ -123,9 +124,9 @@ def _bucket_groups(batches: list[pa.RecordBatch]) -> tuple[EnhancedSuffixArray,
 
 
 def _compare(rows: DataFrame, length: int) -> DataFrame:
-    """Marks (key, place) of undecided windows that stand in a maximal repeat."""
+    """Marks (loc, place) of undecided windows that stand in a maximal repeat."""
     limit_batches(rows.sparkSession, 2000)
-    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "doc", "key", "first")
+    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "doc", "loc", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks_of(batches, CHUNK_BYTES):
@@ -142,55 +143,58 @@ def _compare(rows: DataFrame, length: int) -> DataFrame:
                 continue
             string = array.string[at]
             first = table.column("first").to_numpy()[string] + at - offset[string]
-            key = table.column("key").to_numpy()[string]
-            row, f, c = join_runs(key, first, np.ones(len(at), np.int64))
-            limit = (1 << SHIFT) - 1
-            while len(row):
-                yield pa.record_batch([pa.array(key[row]), pa.array(f << SHIFT | np.minimum(c, limit))], ["key", "place"])
-                more = c > limit
-                row, f, c = row[more], f[more] + limit, c[more] - limit
+            loc = table.column("loc").to_numpy()[string]
+            row, f, c = join_runs(loc, first, np.ones(len(at), np.int64))
+            idx, place = packed(f, c)
+            yield pa.record_batch([pa.array(loc[row][idx]), pa.array(place)], ["loc", "place"])
 
-    return rows.mapInArrow(run, "key long, place long")
+    return rows.mapInArrow(run, "loc long, place long")
 
 
-def _asked_and_marks(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    def texts(text: str, places: list[tuple[int, int]]) -> list[bytes]:
+def _marks(texts: Texts, length: int, gram: int) -> DataFrame:
+    """(loc, place) of all windows that stand elsewhere too. An anchor of more than ``HOT``
+    different segments would fill a task: its windows are compared one by one by their digests."""
+
+    def bodies(text: str, places: list[tuple[int, int]]) -> list[bytes]:
         data = text.encode("utf-8", "surrogatepass")
         return [data[f : f + c + length - 1] for f, c in places]
 
     def split(body: bytes) -> list[bytes]:
         return [body[k : k + length] for k in range(len(body) - length + 1)]
 
-    rows = anchor_rows(docs, Windows(length, gram, _symbols, earlier=False))
-    found = cut(scan_rows(rows, earlier=False), "repeats")
-    asked = fetch(docs, found.filter("kind = 2"), texts, split)
-    return asked, found.filter("kind = 1").select("key", "place")
+    spark = texts.rows.sparkSession
+    found = cut(scan_rows(anchor_rows(texts, Windows(length, gram, _symbols, earlier=False)), earlier=False), "repeats")
+    asked = found.filter(F.col("kind").isin(ASK, ASK_DECIDED))
+    hot = asked.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("anchor")
+    cold_rows = asked_segments(spark, texts.paths, asked.join(hot, "anchor", "left_anti"), bodies)
+    hot_rows = asked_segments(spark, texts.paths, asked.join(hot, "anchor", "left_semi"), bodies)
+    sure = found.filter(F.col("kind") == MARK).select("loc", "place")
+    return sure.unionByName(_compare(cold_rows, length)).unionByName(repeated_digests(hot_rows, split, earlier=False))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start, stop) of each row:
     every byte that is covered by a string of ``length`` bytes that starts elsewhere too."""
-    docs = keyed(docs)
-    asked, marks = _asked_and_marks(docs, length, gram)
-    rows = marks_to_documents(docs, marks.unionByName(_compare(asked, length)))
-
-    def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: list[list] = [[] for _ in range(5)]
-        for text, marks_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+    texts = Texts(docs)
+    wanted = texts.headers().unionByName(_marks(texts, length, gram))
+    span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    kinds = [*[pa.int64()] * 4, pa.string(), span]
+
+    def finish(doc_ids, texts_, _, index, rows) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in range(6)]
+        for doc, text, places in zip(doc_ids, texts_, places_of(rows, index, len(texts_))):
             data = text.encode("utf-8", "surrogatepass")
-            spans = covered(marks_, length)
+            spans = covered(places, length)
             digest, at = hashlib.sha256(), 0
             for start, stop in spans:
                 digest.update(data[at:start])
                 at = stop
             digest.update(data[at:])
-            for col, v in zip(out, (len(data), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), [{"start": s, "stop": e} for s, e in spans])):
+            for col, v in zip(out, (doc, len(data), sum(e - s for s, e in spans), len(spans), digest.hexdigest(), [{"start": s, "stop": e} for s, e in spans])):
                 col.append(v)
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        kinds = [pa.int64()] * 3 + [pa.string(), span]
-        return pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return arrow_map(rows.select("doc_id", "text", "marks"), finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
+    return visit(docs.sparkSession, texts.paths, wanted, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>")
 
 
 def repeat_groups(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFrame:
@@ -201,20 +205,18 @@ def repeat_groups(docs: DataFrame, length: int = 200, gram: int = 64) -> DataFra
     share anchors, directly or by others, in one suffix array. Of equal spans two go there, which
     gives the same repeats, and the second one's occurrences are joined back to all the others.
     The different spans that are connected by anchors must fit in one task."""
-    docs = keyed(docs)
-    asked, marks = _asked_and_marks(docs, length, gram)
-    rows = marks_to_documents(docs, marks.unionByName(_compare(asked, length)))
+    texts = Texts(docs)
 
-    def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def spans(doc_ids, texts_, _, index, rows) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int, bytes]] = []
-        for doc, text, marks_ in zip(*(c.to_pylist() for c in batch.columns)):
+        for doc, text, places in zip(doc_ids, texts_, places_of(rows, index, len(texts_))):
             data = text.encode("utf-8", "surrogatepass")
-            for start, stop in covered(marks_, length):
-                out.append((doc, start, xxhash.xxh64_intdigest(data[start:stop]), data[start:stop]))
+            for start, stop in covered(places, length):
+                out.append((LAST if doc is None else doc, start, xxhash.xxh64_intdigest(data[start:stop]), data[start:stop]))
         doc, start, name, body = zip(*out) if out else ((),) * 4
-        return pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(body, pa.binary())], ["doc", "start", "name", "body"])
+        yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(np.array(name, np.uint64).view(np.int64)), pa.array(body, pa.binary())], ["doc", "start", "name", "body"])
 
-    found = arrow_map(rows.select("doc", "text", "marks"), spans, "doc long, start long, name long, body binary")
+    found = visit(docs.sparkSession, texts.paths, _marks(texts, length, gram), spans, "doc long, start long, name long, body binary")
     nth = F.row_number().over(W.partitionBy("name").orderBy("doc", "start"))
     found = cut(found.withColumn("nth", nth).withColumn("copy", F.least("nth", F.lit(2))).select("name", "copy", "doc", "start", "nth", "body"), "spans")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +17,13 @@ BATCH_ROWS = 400
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    A folder of this machine is chosen only where the setting is missing, as in tests.
+    A folder of this machine is chosen only where the setting is missing and all executors are
+    in this process, as in tests; on a cluster the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

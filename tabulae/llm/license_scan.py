@@ -52,6 +52,22 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("agpl", "licensed under the gnu affero general public license"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc0", "to the extent possible under law the person who associated this work has waived all copyright"),
 ]
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _LETTERS_LINES = _LETTERS[:10] + b"\n" + _LETTERS[11:]

@@ -234,7 +234,7 @@ def templates(docs: DataFrame, min_docs: int, similarity: float, depth: int = DE
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.8, depth: int = DEPTH) -> DataFrame:
-    """(key, lines): the numbers of each document's lines to drop. ``docs`` is ``keyed``."""
+    """(doc, key, lines): the numbers of each document's lines to drop. ``docs`` is ``keyed``."""
     found = cut(templates(docs, min_docs, similarity, depth), "templates")
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -249,12 +249,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.8, d
         return pa.record_batch([pa.array(hashes, pa.int64()), pa.array(batch.column(0).to_numpy()[at]), pa.array(batch.column(1).to_numpy()[at]), pa.array(number, pa.int32())], ["line", "doc", "key", "number"])
 
     every = arrow_map(docs.select("doc", "key", "text"), lines, "line long, doc long, key long, number int")
-    uses = cut(every.join(found.hint("shuffle_hash"), "line").select("template", "doc", "key", "number"), "uses")
+    uses = cut(every.join(found, "line").select("template", "doc", "key", "number"), "uses")
     # a document counts once; the smallest place stays
     first = uses.groupBy("template", "doc", "key").agg(F.min("number").alias("number")).groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "key", "number")).alias("first"))
     uses = uses.join(first.filter(F.col("docs") >= min_docs), "template")
     same = (F.col("doc") == F.col("first.doc")) & (F.col("key") == F.col("first.key")) & (F.col("number") == F.col("first.number"))
-    return uses.filter(~same).groupBy("key").agg(F.collect_set("number").alias("lines"))
+    return uses.filter(~same).groupBy("doc", "key").agg(F.collect_set("number").alias("lines"))
 
 
 def _kept(text: str, drop: list[int] | None) -> list[str]:
@@ -268,7 +268,7 @@ def _kept(text: str, drop: list[int] | None) -> list[str]:
 def line_dedup(docs: DataFrame, min_docs: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, n_lines (with a token), n_dropped, kept_sha256 of each document."""
     docs = keyed(docs)
-    rows = docs.join(dropped_lines(docs, min_docs, similarity).hint("shuffle_hash"), "key", "left")
+    rows = docs.join(dropped_lines(docs, min_docs, similarity), ["doc", "key"], "left")
 
     def finish(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, gone, digests = [], [], []
@@ -286,8 +286,9 @@ def drop_template_lines(docs: DataFrame, min_docs: int = 5, similarity: float =
     the documents that had words and lost them all."""
     key = keyed(docs).select("doc", "key", "text")
     drop = dropped_lines(key, min_docs, similarity)
-    named = docs.withColumn("__llm_key", F.xxhash64(F.coalesce(docs["doc_id"], F.lit((1 << 63) - 1)).cast("long"), F.coalesce(docs["text"], F.lit(""))))
-    rows = named.join(drop.select(F.col("key").alias("__llm_key"), F.col("lines").alias("__llm_lines")).hint("shuffle_hash"), "__llm_key", "left")
+    named = docs.withColumn("__llm_doc", F.coalesce(docs["doc_id"], F.lit((1 << 63) - 1)).cast("long"))
+    named = named.withColumn("__llm_key", F.xxhash64("__llm_doc", F.coalesce(docs["text"], F.lit(""))))
+    rows = named.join(drop.select(F.col("doc").alias("__llm_doc"), F.col("key").alias("__llm_key"), F.col("lines").alias("__llm_lines")), ["__llm_doc", "__llm_key"], "left")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, k: ~F.array_contains("__llm_lines", k)), "\n")
     rows = rows.withColumn("text", F.when(F.col("__llm_lines").isNull(), F.col("text")).otherwise(left))
     rows = rows.filter(F.col("__llm_lines").isNull() | F.col("text").rlike("\\S"))

@@ -28,6 +28,8 @@ from tabulae.llm.common import arrow_map, only
 MARK = "▁"
 #: Encoded units kept in one worker before the table is emptied.
 CACHE_UNITS = 400_000
+#: Up to this length the bitfield of failed positions is one whole number.
+LONG = 512
 
 
 class MergeEncoder:
@@ -161,6 +163,8 @@ class MergeEncoder:
         longest = [1] * len(s)
         for end, n in self.automaton.iter(s):
             longest[end - n + 1] = n  # ends rise, so the last match from a place is its longest
+        if len(s) > LONG:
+            return self._backtrack_long(s, longest)
         pairs, shorter = self.pairs, self.shorter
         failed = 0
         out: list[str] = []
@@ -191,10 +195,38 @@ class MergeEncoder:
                 return self._merge(s)
         return out
 
+    def _backtrack_long(self, s: str, longest: list[int]) -> list[str]:
+        """The same walk with the bitfield in bytes, so that a step costs the same at any length."""
+        pairs, shorter = self.pairs, self.shorter
+        size = len(s)
+        failed = bytearray(size // 8 + 1)
+        out: list[str] = []
+        pos, piece, last = 0, s[: longest[0]], ""
+        while pos < size:
+            while piece:
+                end = pos + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    fits = True if not last else pairs.get((last, piece))
+                    if fits or fits is None and self._compatible(last, piece):
+                        break
+                piece = shorter[piece]
+            if piece:
+                out.append(piece)
+                pos, last = end, piece
+                piece = s[pos : pos + longest[pos]] if pos < size else ""
+            elif out:
+                failed[pos >> 3] |= 1 << (pos & 7)
+                piece = out.pop()
+                pos -= len(piece)
+                last = out[-1] if out else ""
+            else:
+                return self._merge(s)
+        return out
+
     def _known(self, s: str) -> list[int]:
-        """The ids of a string over the alphabet. Tied pieces, which are runs of the marker,
-        and very long strings are merged step by step."""
-        pieces = self._merge(s) if MARK * 2 in s or len(s) > 512 else self._backtrack(s)
+        """The ids of a string over the alphabet. Runs of the marker, whose pieces share their
+        scores and so have no order of merging between them, are merged step by step."""
+        pieces = self._merge(s) if MARK * 2 in s else self._backtrack(s)
         return list(map(self.ids.__getitem__, pieces))
 
     def encode_unit(self, unit: str) -> list[int]:
@@ -246,16 +278,14 @@ class MergeEncoder:
             if len(u) > 2 and u[-1] in ".,!" and u[-2:] not in self.inside and (head := known.get(u[:-1])):
                 # no piece crosses into the closing sign, so the two parts stand for themselves
                 known[u] = f"{head},{known.get(u[-1]) or ','.join(map(str, self.encode_unit(u[-1])))}"
+                self.as_text[u] = self.decode_unit(list(map(int, known[u].split(","))))
                 continue
             ids = self.encode_unit(u)
             known[u] = ",".join(map(str, ids))
-            if (text := self.decode_unit(ids)) != u.replace(MARK, " "):
-                self.as_text[u] = text
+            self.as_text[u] = self.decode_unit(ids)
 
     def both(self, text: str) -> tuple[str, str]:
-        """The ids, in decimal and joined by commas, and the text that they decode to.
-
-        A unit's decoded text is kept only where it isn't the unit with spaces for markers."""
+        """The ids, in decimal and joined by commas, and the text that they decode to."""
         units = self.units(text)
         if not units:
             return "", ""
@@ -264,10 +294,7 @@ class MergeEncoder:
         except KeyError:
             self._learn(units)
             ids = ",".join(map(self.as_ids.__getitem__, units))
-        if self.as_text:
-            decoded = "".join(self.as_text.get(u) or u.replace(MARK, " ") for u in units)
-        else:
-            decoded = "".join(units).replace(MARK, " ")
+        decoded = "".join(map(self.as_text.__getitem__, units))
         return ids, decoded[1:] if decoded.startswith(" ") else decoded
 
     def encode(self, text: str) -> list[int]:

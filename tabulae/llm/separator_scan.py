@@ -13,7 +13,6 @@ document of their own. Repeated rows are counted each, extra columns are ignored
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.llm.common import limit_batches, only, scratch
+from tabulae.llm.common import cut, limit_batches, only, scratch
+from tabulae.llm.texts import filesystem
 
 BLOCK_BYTES = 4 << 20
 
@@ -41,25 +41,24 @@ def _encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _local(path: str) -> str:
-    """A path of the shared folder as the file system shows it."""
-    return path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, separator: int, path: str) -> DataFrame:
-    """Write the flat files below ``path``; returns the manifest (file, ordinal, doc_id)."""
+    """Write the flat files below ``path``; returns the manifest (file, ordinal, doc_id). A
+    tokenizer with ids that 16 bits can't hold, or that gives the separator itself, is refused."""
     spark = docs.sparkSession
     limit_batches(spark, 400)
-    folder = _local(path)
-    os.makedirs(f"{folder}/tokens", exist_ok=True)
+    most = _encoding(tokenizer).max_token_value
+    if most >= separator or separator >= 1 << 16:
+        raise ValueError(f"ids up to {most} with the separator {separator} don't fit flat files of 16-bit ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        name = f"{folder}/tokens/part-{part:06d}.bin"
-        attempt = f"{folder}/.{part}-{TaskContext.get().taskAttemptId()}"
+        name = f"{path}/tokens/part-{part:06d}.bin"
+        fs, inner = filesystem(name)
+        attempt = f"{inner}.{TaskContext.get().taskAttemptId()}"
+        fs.create_dir(inner.rpartition("/")[0], recursive=True)
         end = np.array([separator], np.uint16)
         ordinal = 0
-        with open(attempt, "wb") as f:
+        with fs.open_output_stream(attempt) as f:
             for batch in batches:
                 for text in batch.column(1).to_pylist():
                     ids = _encoding(tokenizer).encode_to_numpy(text) if text else np.zeros(0, np.uint32)
@@ -67,7 +66,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, separator: int, path: str) ->
                 n = batch.num_rows
                 yield pa.record_batch([pa.array([name] * n, pa.string()), pa.array(np.arange(ordinal, ordinal + n)), batch.column(0)], ["file", "ordinal", "doc_id"])
                 ordinal += n
-        os.replace(attempt, name)
+        fs.move(attempt, inner)
 
     only(docs, "doc_id", "text").mapInArrow(write, "file string, ordinal long, doc_id long").write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
@@ -77,7 +76,10 @@ def scan_tokens(spark: SparkSession, files: list[str], separator: int, block_byt
     """(file, ordinal, n_tokens) of every document in flat files of 16-bit ids."""
     block_bytes -= block_bytes % 2
     # one row for each block: the listing knows files and sizes, no contents
-    sizes = [(f, os.path.getsize(f)) for f in sorted(files)]
+    sizes = []
+    for f in sorted(files):
+        fs, inner = filesystem(f)
+        sizes.append((f, fs.get_file_info(inner).size))
     listing = spark.createDataFrame(sizes, "file string, size long")
     blocks = listing.select("file", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / block_bytes).cast("int")))).alias("block"))
     blocks = blocks.filter("size > 0").repartition("file", "block")
@@ -85,7 +87,8 @@ def scan_tokens(spark: SparkSession, files: list[str], separator: int, block_byt
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                with open(file, "rb") as f:
+                fs, inner = filesystem(file)
+                with fs.open_input_file(inner) as f:
                     f.seek(block * block_bytes)
                     ids = np.frombuffer(f.read(block_bytes), np.uint16)
                 at = np.flatnonzero(ids == separator)
@@ -93,8 +96,10 @@ def scan_tokens(spark: SparkSession, files: list[str], separator: int, block_byt
                 tail = len(ids) - (int(at[-1]) + 1 if len(at) else 0)
                 yield pa.record_batch([pa.array([file]), pa.array([block], pa.int32()), pa.array([lengths.tolist()], pa.list_(pa.int64())), pa.array([tail], pa.int64())], ["file", "block", "lengths", "tail"])
 
-    found = blocks.mapInArrow(search, "file string, block int, lengths array<long>, tail long").withColumn("n", F.size("lengths").cast("long"))
-    # prefix scan: documents ended so far, and the tails since the last block with a separator
+    whole_blocks = cut(blocks.mapInArrow(search, "file string, block int, lengths array<long>, tail long"), "blocks")
+    found = whole_blocks.select("file", "block", "tail", F.size("lengths").cast("long").alias("n"))
+    # prefix scan over the blocks' summaries: documents ended so far, and the tails since the last
+    # block with a separator; the lengths themselves are joined back to it
     upto = W.partitionBy("file").orderBy("block")
     past = upto.rowsBetween(W.unboundedPreceding, -1)
     found = found.withColumn("ended", F.coalesce(F.sum("n").over(past), F.lit(0)))
@@ -105,7 +110,9 @@ def scan_tokens(spark: SparkSession, files: list[str], separator: int, block_byt
     ends = W.partitionBy("file").orderBy(F.col("block").desc())
     found = found.withColumn("final", F.row_number().over(ends) == 1)
     rest = F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("tail") + F.col("carry"))
-    whole = F.when(F.col("final") & (rest > 0), F.concat("lengths", F.array(F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("tail"))))).otherwise(F.col("lengths"))
+    found = found.select("file", "block", "ended", "carry", (F.col("final") & (rest > 0)).alias("open"))
+    found = found.join(whole_blocks, ["file", "block"])
+    whole = F.when(F.col("open"), F.concat("lengths", F.array("tail"))).otherwise(F.col("lengths"))
     rows = found.select("file", "ended", "carry", F.posexplode(whole).alias("k", "length"))
     return rows.select("file", (F.col("ended") + F.col("k")).alias("ordinal"), (F.col("length") + F.when(F.col("k") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"))
 
@@ -115,6 +122,6 @@ def token_counts(docs: DataFrame, tokenizer: str, separator: int = 50256, block_
     spark = docs.sparkSession
     path = scratch(spark, "flat")
     manifest = write_tokens(docs, tokenizer, separator, path)
-    folder = _local(path) + "/tokens"
-    counts = scan_tokens(spark, [f"{folder}/{f}" for f in os.listdir(folder)], separator, block_bytes)
+    files = [r.file for r in manifest.select("file").distinct().collect()]
+    counts = scan_tokens(spark, files, separator, block_bytes)
     return manifest.join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")

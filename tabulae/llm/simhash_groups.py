@@ -8,8 +8,8 @@ bit counts, unless their population counts differ by more than the radius everyw
 A bucket gives the edges of a spanning forest only, never all pairs of a group. Buckets with
 more than ``HOT`` nodes are split into pairs of chunks, each a task row of its own.
 
-The number of blocks is a parameter: a corpus of n different texts wants about n / 2^key
-nodes a bucket, where key is the number of bits in ``blocks - radius`` ranges.
+The number of blocks follows from that of the nodes (``blocks_for``): n different texts give about
+n / 2^key nodes a bucket, where key is the number of bits in ``blocks - radius`` ranges.
 
 ``keep_one_of_each`` links by the fingerprints alone. ``keep_one_of_near_copies``, the pipeline's
 stage, takes them and bands of minimal shingle hashes as candidates only, and links what shares
@@ -145,9 +145,19 @@ def near_pairs(fps: np.ndarray, radius: int, split: int | None = None) -> tuple[
     return np.array(a_out, np.int64), np.array(b_out, np.int64)
 
 
-def links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
+def blocks_for(n: int, radius: int) -> int:
+    """The fewest bit ranges with which ``n`` fingerprints give about a thousand a bucket at most."""
+    blocks = radius + 2
+    while blocks < 2 * radius and 64 * (blocks - radius) // blocks < n.bit_length() - 10:
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """(a, b): links between different fingerprints ``fp`` that connect all that are within
-    ``radius`` bits of each other."""
+    ``radius`` bits of each other. The number of bit ranges follows from that of the nodes; it
+    changes what is compared, never what is found."""
+    blocks = blocks or blocks_for(nodes.count(), radius)
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
     keys = []
     for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
@@ -203,7 +213,7 @@ def links(nodes: DataFrame, radius: int = 4, blocks: int = 6) -> DataFrame:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int = 6) -> DataFrame:
+def simhash_components(docs: DataFrame, radius: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     fps = cut(fingerprints(docs, shingle), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -250,7 +260,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFra
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), judge, "a long, b long")
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 4, shingle: int = 5, blocks: int = 6) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 4, shingle: int = 5, blocks: int | None = None) -> DataFrame:
     """doc_id, component_id of every document: components of the pairs that share ``similarity``
     of their distinct shingles.
 
@@ -272,7 +282,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 4, shing
     def body(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([batch.column(0), pa.array([np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "body"])
 
-    texts = docs.select("key", "text").join(asked.hint("shuffle_hash"), "key").select("node", "text")
+    texts = docs.select("key", "text").join(asked, "key").select("node", "text")
     # equal rows give their body once each
     bodies = cut(arrow_map(texts, body, "node long, body binary"), "bodies").dropDuplicates(["node"])
     linked = cut(_verified(pairs, bodies, similarity), "linked")
@@ -288,7 +298,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, radius: int = 4, shing
     return sets.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 5, blocks: int = 6) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, radius: int = 4, shingle: int = 5, blocks: int | None = None) -> DataFrame:
     """``docs`` with one document of each group: the row of its component's smallest doc_id.
     Of rows that share that doc_id the one with the smallest text hash stays. Rows without a
     doc_id are kept. Only fingerprints and ids are shuffled to find the groups."""

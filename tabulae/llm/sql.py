@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tabulae.llm.quality_rules import BOILERPLATE
-from tabulae.llm.url_trust import BLOCKED_TERMS, ONE, RULES
+from tabulae.llm.url_trust import ITERATIONS, ONE, RULES
 
 WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -29,26 +29,28 @@ CAST(len(list_filter(string_split_regex(array_to_string(c, chr(10)), '[\\x20\\x0
 SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_kept_words >= 0.5 * n_words AS kept FROM d"""
 
 
-def url_sql(iterations: int = 8) -> str:
-    fits = lambda r: f"((host = {_quote(r.split('/')[0])} OR ends_with(host, {_quote('.' + r.split('/')[0])})) AND starts_with(path, {_quote('/' + r.partition('/')[2])}))"
-    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_quote(r)}" for r, _ in sorted(RULES, key=lambda x: (-len(x[0]), x[0]))) + " END"
-    under = lambda n: f"(host = {_quote(n)} OR ends_with(host, {_quote('.' + n)}))"
-    trusted = " OR ".join(under(r.split("/")[0]) for r, v in RULES if v == "allow")
-    blocked = " OR ".join(under(r[:-1]) for r, v in RULES if v == "block" and r.count("/") == 1)
+def url_sql(iterations: int = ITERATIONS, threshold: float = 0.5) -> str:
+    fits = lambda r, path="path": f"((host = {_quote(r.split('/')[0])} OR ends_with(host, {_quote('.' + r.split('/')[0])})) AND starts_with({path}, {_quote('/' + r.partition('/')[2])}))"
+    longest = sorted(RULES, key=lambda x: (-len(x[0]), x[0]))
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN {_quote(r)}" for r, _ in longest) + " END"
+    whole = "CASE " + " ".join(f"WHEN {fits(r, _quote('/'))} THEN {_quote(v)}" for r, v in longest) + " END"
     host = "translate(regexp_extract(coalesce({0}, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     steps = ", ".join(
-        f"r{k + 1} AS (SELECT kind, host, CAST(sum(rank) AS BIGINT) AS rank FROM (SELECT m.kind, m.dst AS host, CAST(floor(r.rank::DOUBLE * 85 * n / (100 * total)) AS BIGINT) AS rank FROM r{k} r JOIN m ON r.kind = m.kind AND r.host = m.src UNION ALL SELECT kind, host, CAST(floor(rank::DOUBLE * 15 / 100) AS BIGINT) FROM r0) GROUP BY kind, host)"
+        f"r{k + 1} AS MATERIALIZED (SELECT kind, host, CAST(sum(rank) AS BIGINT) AS rank FROM (SELECT m.kind, m.dst AS host, CAST(floor(r.rank::DOUBLE * 85 * n / (100 * total)) AS BIGINT) AS rank FROM r{k} r JOIN m ON r.kind = m.kind AND r.host = m.src UNION ALL SELECT kind, host, CAST(floor(rank::DOUBLE * 15 / 100) AS BIGINT) FROM r0) GROUP BY kind, host)"
         for k in range(iterations)
     )
     return f"""WITH p AS (SELECT page_id, {host.format('url')} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 l AS (SELECT {host.format('url')} AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1)) AS u FROM pages),
 e AS (SELECT src, dst, count(*) AS n FROM (SELECT src, {host.format("CASE WHEN starts_with(u, '//') THEN 'http:' || u ELSE u END")} AS dst FROM l) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL),
-both_ways AS (SELECT 0 AS kind, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e), m AS (SELECT *, sum(n) OVER (PARTITION BY kind, src) AS total FROM both_ways),
-h AS (SELECT DISTINCT host FROM (SELECT host FROM p UNION ALL SELECT src FROM e UNION ALL SELECT dst FROM e) WHERE host <> ''),
-r0 AS (SELECT 0 AS kind, host, {ONE}::BIGINT AS rank FROM h WHERE ({trusted}) AND NOT regexp_matches(host, {_quote(BLOCKED_TERMS)}) UNION ALL SELECT 1, host, {ONE}::BIGINT FROM h WHERE ({blocked}) OR regexp_matches(host, {_quote(BLOCKED_TERMS)})),
+both_ways AS (SELECT 0 AS kind, src, dst, n FROM e UNION ALL SELECT 1, dst, src, n FROM e), m AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY kind, src) AS total FROM both_ways),
+q AS (SELECT *, {rule} AS rule FROM p), d AS (SELECT *, CASE {' '.join(f'WHEN rule = {_quote(r)} THEN {_quote(v)}' for r, v in RULES)} END AS decided FROM q),
+own AS (SELECT host, count(*) AS n, count(*) FILTER (decided = 'allow') AS a, count(*) FILTER (decided = 'block') AS b FROM d WHERE host <> '' GROUP BY host),
+named AS (SELECT DISTINCT host FROM (SELECT src AS host FROM e UNION ALL SELECT dst FROM e) WHERE host NOT IN (SELECT host FROM own)),
+h AS (SELECT * FROM own UNION ALL SELECT host, 1, CASE WHEN {whole} = 'allow' THEN 1 ELSE 0 END, CASE WHEN {whole} = 'block' THEN 1 ELSE 0 END FROM named),
+r0 AS MATERIALIZED (SELECT 0 AS kind, host, CAST(floor(a::DOUBLE * {ONE} / n) AS BIGINT) AS rank FROM h WHERE a > 0 UNION ALL SELECT 1, host, CAST(floor(b::DOUBLE * {ONE} / n) AS BIGINT) FROM h WHERE b > 0),
 {steps}, t AS (SELECT host, CAST(coalesce(sum(rank) FILTER (kind = 0), 0) AS BIGINT) AS trust, CAST(coalesce(sum(rank) FILTER (kind = 1), 0) AS BIGINT) AS distrust FROM r{iterations} GROUP BY host),
-j AS (SELECT page_id, host, path, {rule} AS rule, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM p LEFT JOIN t USING (host))
-SELECT page_id, host, path, rule, CASE {' '.join(f'WHEN rule = {_quote(r)} THEN {_quote(v)}' for r, v in RULES)} WHEN distrust > trust THEN 'block' ELSE 'allow' END AS verdict, trust, distrust FROM j"""
+s AS (SELECT coalesce(sum(rank) FILTER (kind = 0), 1)::DOUBLE AS ts, coalesce(sum(rank) FILTER (kind = 1), 1)::DOUBLE AS ds FROM r0)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN distrust / ds > trust / ts AND distrust >= {threshold * 0.15 * ONE} THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust FROM d LEFT JOIN t USING (host), s"""
 
 
 def windows_sql(length: int = 13) -> str:

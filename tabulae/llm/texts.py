@@ -44,23 +44,26 @@ def _plain_scan(docs: DataFrame) -> bool:
     return plan.getClass().getSimpleName() == "LogicalRelation" and plan.simpleString(5).startswith("Relation") and plan.simpleString(200).rstrip().endswith("parquet")
 
 
+def _files(docs: DataFrame) -> list[str]:
+    return sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+
+
 class Texts:
     """``rows``: (doc_id, doc, loc, text), a null doc_id as the largest, a null text as empty.
     ``paths``: the files by number."""
 
     def __init__(self, docs: DataFrame, first: int = 0) -> None:
         spark = docs.sparkSession
-        direct = _plain_scan(docs)
-        if direct:
-            direct = docs.select("_metadata.file_path").distinct().count() >= spark.sparkContext.defaultParallelism
-        if not direct:
+        names = _files(docs) if _plain_scan(docs) else []
+        if len(names) < spark.sparkContext.defaultParallelism:
             path = scratch(spark, "texts")
             docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
             docs.repartition(spark.sparkContext.defaultParallelism * 2).write.option("parquet.block.size", 8 << 20).parquet(path)
             docs = spark.read.schema("doc_id long, text string").parquet(path)
-        names = sorted(r[0] for r in docs.select("_metadata.file_path").distinct().collect())
+            names = _files(docs)
         self.paths = dict(enumerate(names, first))
-        files = spark.createDataFrame([(p, n) for n, p in self.paths.items()], "path string, file long")
+        # from an Arrow table, whose size Spark knows: it broadcasts a list below its threshold
+        files = spark.createDataFrame(pa.table({"path": pa.array(names, pa.string()), "file": pa.array(list(self.paths), pa.int64())}))
         rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
         loc = F.shiftleft("file", ROW_BITS).bitwiseOR(F.col("row"))
         self.rows = rows.join(files, "path").select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), loc.alias("loc"), F.coalesce("text", F.lit("")).alias("text"))

@@ -284,10 +284,13 @@ def remove_earlier_windows(docs: DataFrame, length: int = 13, gram: int = 5, bat
     """All of ``docs`` through an index, in ``batches`` by doc_id: each is merged with the runs of
     those before, which are compacted, and the index reopened, before the last one."""
     spark = docs.sparkSession
-    index = FingerprintIndex(spark, length=length, gram=gram)
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
-    shares = [k / batches for k in range(1, batches)]
-    cuts = sorted(set(docs.agg(F.percentile_approx(doc, shares).alias("x")).first().x or [])) if shares else []
+    shares = [k / batches for k in range(1, batches)] or [0.5]
+    known = docs.agg(F.percentile_approx(doc, shares).alias("x"), F.count("*").alias("n")).first()
+    cuts = sorted(set(known.x or [])) if batches > 1 else []
+    # ranges hold about as much at any size: a task's share of a batch doesn't grow with the table
+    bits = min(16, max(2, (known.n // 4000).bit_length()))
+    index = FingerprintIndex(spark, length=length, gram=gram, bits=bits)
     out = None
     for k in range(len(cuts) + 1):
         # bounds are half open, so rows that share a doc_id stand in one batch

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulae.functions.measures import fold, mulberry32
-from tabulae.functions.numerals import parse_value
+from tabulae.functions.numerals import parse_value, value_sql
 from tabulae.functions.text import chi_squared_p, phonetic_distance, strip_diacritics
 from tabulae.operators import association, counts, evaluation, ledgers, sequences
 from tabulae.operators.query import Condition, merge, query, search
@@ -296,7 +296,7 @@ register(
 )
 # -- bins, numerals, dossiers ------------------------------------------------------------
 register("timeline_bins", lambda s, d: table(s, d, "events").groupBy((F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("bin")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")), "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
-register("numerals", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\\s+")).alias("token")).select("doc_id", "token", parse_value(F.col("token")).alias("value")).filter("value IS NOT NULL"), "SELECT doc_id, token, CAST(token AS DOUBLE) AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents) WHERE regexp_full_match(token, '[0-9]{1,18}')")
+register("numerals", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\\s+")).alias("token")).select("doc_id", "token", parse_value(F.col("token")).alias("value")).filter("value IS NOT NULL"), f"SELECT doc_id, token, {value_sql('token')} AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents) WHERE {value_sql('token')} IS NOT NULL")
 register("dossiers", lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3), lambda x: x.cast("string")), ",").alias("first_docs")), "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') AS first_docs FROM documents GROUP BY ALL")
 register("split_tokens_unseen", _tok(lambda t: t.filter("doc_id % 10 = 9").select("text").distinct().join(t.filter("doc_id % 10 <> 9").select("text").distinct(), "text", "left_anti")), TOK + " SELECT DISTINCT text FROM tok WHERE doc_id % 10 = 9 AND text NOT IN (SELECT text FROM tok WHERE doc_id % 10 <> 9)")
 register("bridge_coverage", _tok(lambda t: t.join(vocabulary(t.filter("site = 'src0'")).filter("n >= 3").select("text", F.lit(1).alias("known")), "text", "left").groupBy("period").agg(F.count("*").alias("tokens"), F.count("known").alias("known"))), TOK + ", k AS (SELECT text FROM tok WHERE site = 'src0' GROUP BY text HAVING count(*) >= 3) SELECT period, count(*) AS tokens, count(k.text) AS known FROM tok LEFT JOIN k USING (text) GROUP BY period")

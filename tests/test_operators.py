@@ -34,10 +34,10 @@ def test_degenerate_margins(spark):
 
 
 def test_numerals(spark):
-    tokens = {"12": 12.0, "≈3": 3.0, "2½": 2.5, "¾": 0.75, "¹⁄₂": 0.5, "x": None, "": None, "1-2": None, "¹⁄₀": None}
+    tokens = {"12": 12.0, "≈ 3": 3.0, "2½": None, "¾": 0.75, "¹⁄₂": 0.5, "3/4": 0.75, "x": None, "": None, "1-2": None, "¹⁄₀": None, "1/0": None, "≈": None, "~3": None, "1.5": None, "9" * 25: 1e25, "9" * 400: None, "٣": None}
     df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", parse_value(F.col("t")).alias("v"))
     assert {r.t: r.v for r in df.collect()} == tokens
-    shown = {2.5: "2½", -0.75: "-¾", 3.0: "3", 0.123: "0.123"}
+    shown = {2.5: "2½", -0.75: "-¾", 3.0: "3", 0.123: "0.123", -2.0: "-2", 0.0625: "¹⁄₁₆", 1.4: "1.4", -0.0001: "0"}
     df = spark.createDataFrame([(v,) for v in shown], "v double").select("v", format_value(F.col("v")).alias("s"))
     assert {r.v: r.s for r in df.collect()} == shown
 

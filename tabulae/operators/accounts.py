@@ -124,7 +124,7 @@ def is_lexical_word(word: Column) -> Column:
     400 and more among its signs, and with a sign that is not just a number."""
     parts = F.split(word, "-")
     number = lambda p: F.regexp_extract(p, "^\\*([0-9]+)", 1)
-    bad = F.exists(parts, lambda p: commodity_head(p).isNotNull() | (number(p).try_cast("double") >= 400))
+    bad = F.exists(parts, lambda p: commodity_head(p).isNotNull() | F.coalesce(number(p).try_cast("double") >= 400, F.lit(False)))
     return word.contains("-") & ~word.rlike("[+\\[\\]?]") & ~bad & F.exists(parts, lambda p: number(p) == "")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.functions.measures import mulberry32, wilson
+from tabulae.functions.measures import wilson
 
 
-def expected_calibration_error(rows: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
+def expected_calibration_error(rows: DataFrame, p: str, y: str, bins: int = 15) -> DataFrame:
     """One row: the weighted gap of mean confidence and accuracy over equal-width bins."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1))
     per = rows.select(b.alias("b"), F.col(p).alias("p"), F.col(y).cast("double").alias("y")).groupBy("b").agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("gap"))
@@ -55,16 +55,6 @@ def merge_reviews(tables: list[DataFrame], key: str, value: str) -> DataFrame:
     return out.select(key, "reviews", F.when(F.col("values") == 1, "agreed").otherwise("conflict").alias("state"), F.when(F.col("values") == 1, F.col("low")).alias("value"))
 
 
-def paired_bootstrap(spark: SparkSession, pairs: DataFrame, diff: str, iterations: int = 200, seed: int = 42) -> DataFrame:
-    """Interval of a mean paired difference: draw k of replicate r is draw r * n + k of the
-    seeded generator, so replicates are a join of indices, not a loop. ``pairs`` is ordered
-    by ``k`` from 0."""
-    n = pairs.count()
-    draws = spark.range(iterations * n).select((F.col("id") / n).cast("long").alias("rep"), F.floor(mulberry32(seed, F.col("id")) * n).cast("long").alias("k"))
-    means = draws.join(pairs, "k").groupBy("rep").agg(F.avg(diff).alias("m"))
-    return means.agg(F.count("*").alias("replicates"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))
-
-
 def label_profile(tokens: DataFrame, by: str, top: int = 3) -> DataFrame:
     """Tokens, documents, types and most frequent words of each group."""
     counts = tokens.groupBy(by, "text").agg(F.count("*").alias("n"))

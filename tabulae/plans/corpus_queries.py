@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.functions.measures import fold, mulberry32
+from tabulae.functions.measures import fold
 from tabulae.functions.numerals import parse_value, value_sql
 from tabulae.functions.text import chi_squared_p, phonetic_distance, strip_diacritics
 from tabulae.operators import association, counts, evaluation, ledgers, sequences
@@ -262,7 +261,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 SCORED = "WITH s AS (SELECT doc_id, quality, toxic, (doc_id * 37 % 101) / 101.0::DOUBLE AS p FROM labels)"
-register("ece", lambda s, d: evaluation.expected_calibration_error(_scored(s, d), "p", "quality"), SCORED + ", b AS (SELECT least(floor(p * 10), 9) AS b, count(*) AS n, abs(avg(p) - avg(quality)) AS gap FROM s GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
+register("ece", lambda s, d: evaluation.expected_calibration_error(_scored(s, d), "p", "quality"), SCORED + ", b AS (SELECT least(floor(p * 15), 14) AS b, count(*) AS n, abs(avg(p) - avg(quality)) AS gap FROM s GROUP BY 1) SELECT round(sum(n * gap) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM b")
 register("brier", lambda s, d: evaluation.brier(_scored(s, d), "p", "quality"), SCORED + " SELECT count(*) AS n, round(avg(pow(p - quality, 2)), 6) AS brier FROM s")
 register(
     "mcnemar",
@@ -289,11 +288,6 @@ PROFILE = """, c AS (SELECT {by}, text, count(*) AS n FROM tok GROUP BY ALL), r
 SELECT {by}, count(*) AS tokens, count(DISTINCT doc_id) AS docs, count(DISTINCT text) AS types, first(top_words) AS top_words FROM tok JOIN t USING ({by}) GROUP BY {by}"""
 for name, by in (("scribal_hands", "scribe"), ("site_profile", "site"), ("period_profile", "period")):
     register(name, _tok(lambda t, b=by: evaluation.label_profile(t, b)), TOK + PROFILE.format(by=by))
-register("mulberry32", lambda s, d: s.range(5000).select(F.col("id").alias("k"), F.round(mulberry32(42, F.col("id")), 9).alias("u")))
-register(
-    "paired_bootstrap",
-    lambda s, d: evaluation.paired_bootstrap(s, table(s, d, "labels").select((F.row_number().over(W.orderBy("doc_id")) - 1).cast("long").alias("k"), (F.col("quality") - F.col("toxic")).alias("diff")), "diff"),
-)
 # -- bins, numerals, dossiers ------------------------------------------------------------
 register("timeline_bins", lambda s, d: table(s, d, "events").groupBy((F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("bin")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")), "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 register("numerals", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\\s+")).alias("token")).select("doc_id", "token", parse_value(F.col("token")).alias("value")).filter("value IS NOT NULL"), f"SELECT doc_id, token, {value_sql('token')} AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents) WHERE {value_sql('token')} IS NOT NULL")

@@ -1,126 +1,27 @@
-"""Text functions: transliteration, weighted phonetic distance, tails of distributions. What Spark
-has no builtin for runs as Arrow-batched functions."""
+"""Text functions: letters without marks, tails of distributions. What Spark has no builtin for runs
+as an Arrow-batched function."""
 
 from __future__ import annotations
 
 import math
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-VOWELS = frozenset("aeiouyàáâäãèéêëìíîïòóôöõùúûü")
-CLASSES = ["pbfv", "tdθ", "kgqxc", "sz", "mn", "lr", "jw"]
-_CLASS = {c: k for k, group in enumerate(CLASSES) for c in group}
-BETA = dict(zip("abgdezhqiklmncoprstufxyw", "αβγδεζηθικλμνξοπρστυφχψω"))
-_MARKS = {")": "̓", "(": "̔", "/": "́", "\\": "̀", "=": "͂", "|": "ͅ", "+": "̈"}
-
-
-def substitution(a: str, b: str) -> float:
-    if a == b:
-        return 0.0
-    if a in VOWELS and b in VOWELS:
-        return 0.3
-    return 0.5 if a in _CLASS and _CLASS.get(a) == _CLASS.get(b) else 1.0
-
-
-def weighted_distance(a: str, b: str) -> float:
-    """Weighted edit distance over the longer length, 0 for two empty strings."""
-    row = [float(k) for k in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], float(i)
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + substitution(x, y))
-    return row[-1] / max(len(a), len(b)) if a or b else 0.0
-
-
-def align(a: list[str], b: list[str]) -> list[tuple[str | None, str | None]]:
-    """Global alignment with match 2, mismatch 0 and gap -1."""
-    s = [[-(i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            s[i][j] = max(s[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else 0), s[i - 1][j] - 1, s[i][j - 1] - 1)
-    out: list[tuple[str | None, str | None]] = []
-    i, j = len(a), len(b)
-    while i or j:
-        if i and j and s[i][j] == s[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else 0):
-            i, j = i - 1, j - 1
-            out.append((a[i], b[j]))
-        elif i and s[i][j] == s[i - 1][j] - 1:
-            i -= 1
-            out.append((a[i], None))
-        else:
-            j -= 1
-            out.append((None, b[j]))
-    return out[::-1]
-
-
-def beta_to_unicode(text: str) -> str:
-    """Beta Code as composed Greek: ``*`` capitals, marks behind (or before a capital's) letters."""
-    out: list[str] = []
-    capital, pending = False, ""
-    for c in text.lower():
-        if c == "*":
-            capital = True
-        elif c in _MARKS and capital:
-            pending += _MARKS[c]
-        elif c in _MARKS and out:
-            out[-1] += _MARKS[c]
-        elif c in BETA:
-            letter = BETA[c].upper() if capital else BETA[c]
-            out.append(letter + pending)
-            capital, pending = False, ""
-        else:
-            out.append(c)
-    text = unicodedata.normalize("NFC", "".join(out))
-    return "".join("ς" if c == "σ" and not text[k + 1 : k + 2].isalpha() else c for k, c in enumerate(text))
-
-
-def fisher_exact(joint: int, left: int, right: int, total: int) -> float:
-    """Two-sided hypergeometric tail."""
-    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    p = lambda k: math.exp(choose(right, k) + choose(total - right, left - k) - choose(total, left))
-    observed = p(joint)
-    return min(1.0, sum(q for k in range(max(0, left + right - total), min(left, right) + 1) if (q := p(k)) <= observed * (1 + 1e-12)))
-
-
-def _distances(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else weighted_distance(x, y) for x, y in zip(a, b)])
-
 
 def _tails(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None or v != v else 1.0 if v <= 0 else math.erfc(math.sqrt(v / 2)))
 
 
-def _nfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
-
-
-def _greek(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else beta_to_unicode(v))
-
-
 # Arrow functions are made where they are used: workers import this module without a session
-def phonetic_distance(a: Column | str, b: Column | str) -> Column:
-    return F.pandas_udf(_distances, "double")(a, b)
-
-
 def chi_squared_p(x: Column | str) -> Column:
     """Upper tail at one degree of freedom: erfc(sqrt(x / 2)); 1 for x <= 0."""
     return F.pandas_udf(_tails, "double")(x)
 
 
-def normalize_nfc(x: Column | str) -> Column:
-    return F.pandas_udf(_nfc, "string")(x)
-
-
-def beta_code(x: Column | str) -> Column:
-    return F.pandas_udf(_greek, "string")(x)
-
-
 def strip_diacritics(text: Column) -> Column:
-    """Letters without marks, for accented Latin letters that the corpus uses, in the JVM."""
+    """Letters without marks, for accented Latin letters, in the JVM; ``greek.strip_diacritics`` does all."""
     marked = "àáâäãåèéêëìíîïòóôöõùúûüçñýÿÀÁÂÄÃÅÈÉÊËÌÍÎÏÒÓÔÖÕÙÚÛÜÇÑÝ"
     plain = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
     return F.translate(text, marked, plain)

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulae.functions.measures import chi_squared_2x2, log_likelihood_2x2, pmi, wilson
@@ -34,6 +39,8 @@ def cooccurrence_edges(units: DataFrame, unit: str, item: str, min_count: int =
     seen = units.select(unit, item).distinct()
     common = seen.groupBy(item).agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).select(item)
     seen = seen.join(common, item, "left_semi")
+    # a written table would be read twice for less, but the join's sides share one exchange by unit
+    seen = seen.repartition(unit)
     a, b = seen.select(unit, F.col(item).alias("source")), seen.select(unit, F.col(item).alias("target"))
     pairs = a.join(b, unit).filter("source < target")
     return pairs.groupBy("source", "target").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_count)
@@ -65,25 +72,42 @@ def divergence(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> Dat
     return rows.select(key, "l", "r", F.round(F.log2(((F.col("l") + 0.5) / (F.col("lt") + 0.5)) / ((F.col("r") + 0.5) / (F.col("rt") + 0.5))), 6).alias("log_ratio"))
 
 
-def brainerd_robinson(counts: DataFrame, unit: str, kind: str, n: str = "n") -> DataFrame:
-    """200 minus the sum of absolute differences of percentages, for each pair of units. In long
-    form that is 2 * sum of min(p, q), so kinds absent from both cost nothing."""
-    total = counts.groupBy(unit).agg(F.sum(n).alias("t"))
-    share = counts.join(total, unit).select(unit, kind, (100.0 * F.col(n) / F.col("t")).alias("p"))
-    a = share.select(F.col(unit).alias("a"), kind, F.col("p").alias("pa"))
-    b = share.select(F.col(unit).alias("b"), kind, F.col("p").alias("pb"))
-    return a.join(b, kind).filter("a < b").groupBy("a", "b").agg(F.round(2 * F.sum(F.least("pa", "pb")), 4).alias("similarity"))
-
-
-def cosine_neighbours(vectors: DataFrame, queries: DataFrame, top: int = 5) -> DataFrame:
-    """The ``top`` nearest vectors of each query by cosine, ties by id. Queries are a stated set
-    and are compared with all rows, block by block."""
-    unit = lambda df, i, v: df.select(F.col("vec_id").alias(i), F.transform("embedding", lambda x: x.cast("double")).alias(v)).withColumn("n_" + i, F.sqrt(F.aggregate(F.transform(v, lambda x: x * x), F.lit(0.0), lambda s, x: s + x)))
-    q, v = unit(queries, "q", "qv"), unit(vectors, "v", "vv")
-    pairs = q.join(v, F.col("q") != F.col("v"))
-    dot = F.aggregate(F.zip_with("qv", "vv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = pairs.select("q", "v", F.round(F.try_divide(dot, F.col("n_q") * F.col("n_v")), 6).alias("cosine"))
-    from pyspark.sql import Window as W
-
+def cosine_neighbours(vectors: DataFrame, queries: DataFrame, top: int = 5, block: int = 2000) -> DataFrame:
+    """(q, v, cosine, rank): the ``top`` nearest vectors of each query, ties by id. Queries are a stated
+    set: they are read in blocks of ``block``, each multiplied with all rows in Arrow batches; a
+    task keeps its ``top`` rows of each query, so what is shuffled grows with tasks, not with pairs."""
+    out = None
+    ids = queries.select("vec_id").distinct()
+    parts = max(1, -(-ids.count() // block))
+    for k in range(parts):
+        rows = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k).dropDuplicates(["vec_id"]).select("vec_id", "embedding").collect()
+        if rows:
+            part = _nearest(vectors, np.array([r.vec_id for r in rows], np.int64), np.array([r.embedding for r in rows], float), top)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "q long, v long, cosine double, rank long")
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("cosine"), "v"))
-    return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+    return out.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+
+
+def _nearest(vectors: DataFrame, names: np.ndarray, asked: np.ndarray, top: int) -> DataFrame:
+    norms = np.linalg.norm(asked, axis=1, keepdims=True)
+    asked = np.divide(asked, norms, out=np.zeros_like(asked), where=norms > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best_v = np.zeros((len(names), 0), np.int64)
+        best_c = np.zeros((len(names), 0))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, m = b.column(0).to_numpy(), np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
+            size = np.linalg.norm(m, axis=1)
+            cosine = np.round(np.divide(asked @ m.T, size, out=np.zeros((len(names), len(m))), where=size > 0), 6)
+            cosine[names[:, None] == ids[None, :]] = -np.inf
+            v, c = np.concatenate([best_v, np.broadcast_to(ids, cosine.shape)], 1), np.concatenate([best_c, cosine], 1)
+            order = np.lexsort((v, -c), axis=1)[:, :top]
+            best_v, best_c = np.take_along_axis(v, order, 1), np.take_along_axis(c, order, 1)
+        keep = np.isfinite(best_c)
+        yield pa.record_batch([pa.array(np.broadcast_to(names[:, None], keep.shape)[keep]), pa.array(best_v[keep]), pa.array(best_c[keep])], ["q", "v", "cosine"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "q long, v long, cosine double")

@@ -9,6 +9,26 @@ from pyspark.sql import functions as F
 from tabulae.functions.measures import g2
 
 
+def prefix_sums(rows: DataFrame, by: list[str], order: str, columns: list[str], parts: int = 64) -> DataFrame:
+    """``rows`` with ``upto_x`` for each column x: its sum over the rows of the group up to this one.
+    A group is cut into ranges of the order column, whose sums are added up first, so that a large
+    group isn't one task. Of equal order values any comes first."""
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, [k / parts for k in range(1, parts)]).alias("_cuts"))
+    placed = rows.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+    before = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
+    starts = placed.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns]).select(*by, "_range", *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_start_{c}") for c in columns])
+    inside = W.partitionBy(*by, "_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = placed.join(starts, [*by, "_range"])
+    return out.select(*rows.columns, *[(F.sum(c).over(inside) + F.col(f"_start_{c}")).alias(f"upto_{c}") for c in columns])
+
+
+def group_heads(rows: DataFrame, by: list[str], order: str, size: str, top: int = 3) -> DataFrame:
+    """Each group's rows, summed size and first ids: only ``top`` rows of a group are gathered."""
+    place = F.row_number().over(W.partitionBy(*by).orderBy(order))
+    heads = rows.select(*by, order, place.alias("_r")).filter(F.col("_r") <= top).groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.cast("string")), ",").alias("first_docs"))
+    return rows.groupBy(*by).agg(F.count("*").alias("docs"), F.sum(size).alias("chars")).join(heads, by)
+
+
 def word_frequencies(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("text").agg(F.count("*").alias("n"))
 
@@ -59,8 +79,8 @@ def heaps(tokens: DataFrame, by: str) -> DataFrame:
     vocabulary after each document. First sightings are found by one aggregation."""
     sizes = tokens.groupBy(by, "doc_id").agg(F.count("*").alias("size"))
     first = tokens.groupBy(by, "text").agg(F.min("doc_id").alias("doc_id")).groupBy(by, "doc_id").agg(F.count("*").alias("fresh"))
-    upto = W.partitionBy(by).orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    points = sizes.join(first, [by, "doc_id"], "left").select(by, F.ln(F.sum("size").over(upto)).alias("x"), F.ln(F.sum(F.coalesce("fresh", F.lit(0))).over(upto)).alias("y"))
+    steps = sizes.join(first, [by, "doc_id"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(0)))
+    points = prefix_sums(steps, [by], "doc_id", ["size", "fresh"]).select(by, F.ln("upto_size").alias("x"), F.ln("upto_fresh").alias("y"))
     fit = points.groupBy(by).agg(F.count("*").alias("points"), F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("k"), F.regr_r2("y", "x").alias("r2"))
     return fit.filter("points >= 5").select(by, "points", F.round("b", 6).alias("beta"), F.round(F.exp("k"), 4).alias("k"), F.round("r2", 6).alias("r2"))
 
@@ -68,11 +88,13 @@ def heaps(tokens: DataFrame, by: str) -> DataFrame:
 def spearman(rows: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """Rank correlation with average ranks for ties, per group; 0 for under 3 rows or a constant."""
 
-    def ranked(c: str):
-        w = W.partitionBy(by).orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(W.partitionBy(by, c)) - 1) / 2.0
+    def ranked(c: str, name: str) -> DataFrame:
+        # distinct values are ranked, a range of them a task, and rows find their value's rank
+        values = rows.groupBy(by, c).agg(F.count("*").alias("_n"))
+        upto = prefix_sums(values, [by], c, ["_n"])
+        return upto.select(by, c, (F.col("upto__n") - (F.col("_n") - 1) / 2.0).alias(name))
 
-    ranks = rows.select(by, ranked(x).alias("rx"), ranked(y).alias("ry"))
+    ranks = rows.select(by, x, y).join(ranked(x, "rx"), [by, x]).join(ranked(y, "ry"), [by, y])
     n = F.count("*")
     sx, sy = F.sum("rx"), F.sum("ry")
     cov = n * F.sum(F.col("rx") * F.col("ry")) - sx * sy

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulae.operators.counts import prefix_sums
+
 
 def check_balances(lines: DataFrame) -> DataFrame:
     """``lines`` (doc_id, line_no, role, value), role item, total or grand-total. A total covers
@@ -27,7 +29,7 @@ def check_balances(lines: DataFrame) -> DataFrame:
 def metrology(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Count, sum, upper median and share of fractional values in each group."""
     fractional = F.count_if(F.col(value) != F.floor(value))
-    ordered = F.row_number().over(W.partitionBy(by).orderBy(value)) - 1
-    n = F.count("*").over(W.partitionBy(by))
-    mid = rows.select(by, value, ordered.alias("k"), n.alias("n")).filter("k = floor(n / 2)").select(by, F.col(value).alias("upper_median"))
+    values = prefix_sums(rows.groupBy(by, value).agg(F.count("*").alias("_n")), [by], value, ["_n"])
+    total = rows.groupBy(by).agg(F.count("*").alias("_all"))
+    mid = values.join(total, by).filter("upto__n > floor(_all / 2)").groupBy(by).agg(F.min(value).alias("upper_median"))
     return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.sum(value), 2).alias("total"), F.round(fractional / F.count("*"), 6).alias("fractional")).join(mid, by)

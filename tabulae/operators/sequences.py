@@ -3,6 +3,7 @@ are its characters; every table is aggregated over the vocabulary, not over toke
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,26 +47,19 @@ def productivity(vocab: DataFrame, length: int = 3) -> DataFrame:
     return rows.groupBy("suffix").agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.count_if(F.col("n") == 1).alias("hapaxes")).withColumn("productivity", F.round(F.col("hapaxes") / F.col("tokens"), 6))
 
 
-def successor_variety(vocab: DataFrame, depth: int = 4) -> DataFrame:
-    """Distinct next signs of each prefix up to ``depth``, and over the mean at its length."""
-    rows = vocab.select("text", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("d")).filter("length(text) > d")
-    rows = rows.select(F.col("d").cast("long").alias("d"), F.expr("substring(text, 1, d)").alias("prefix"), F.expr("substring(text, d + 1, 1)").alias("follow")).distinct()
-    variety = rows.groupBy("d", "prefix").agg(F.count("*").alias("variety"))
-    mean = variety.groupBy("d").agg(F.avg("variety").alias("mean"))
-    return variety.join(F.broadcast(mean), "d").select("d", "prefix", "variety", F.round(F.col("variety") / F.col("mean"), 6).alias("ratio"))
-
-
 def witten_bell_surprisal(vocab: DataFrame) -> DataFrame:
     """Mean bits a transition of each word under a Witten-Bell model that leaves the word's own
     counts out. Marginals join on sign pairs, a table no larger than the alphabet squared."""
     word = F.concat(F.lit("^"), F.col("text"), F.lit("$"))
     own = vocab.select("text", "n", F.split(word, "").alias("s")).select("text", "n", F.explode(F.expr("transform(sequence(1, size(s) - 1), i -> struct(s[i-1] as a, s[i] as b))")).alias("x")).groupBy("text", "n", F.col("x.a").alias("a"), F.col("x.b").alias("b")).agg(F.count("*").alias("m"))
+    # every table below is an aggregate of this one: it is kept, on disk where memory is short
+    own = own.persist(StorageLevel.MEMORY_AND_DISK)
     pair = own.groupBy("a", "b").agg(F.sum(F.col("m") * F.col("n")).alias("ab"))
     left = pair.groupBy("a").agg(F.sum("ab").alias("a_n"), F.count("*").alias("a_types"))
     right = pair.groupBy("b").agg(F.sum("ab").alias("b_n"))
     total = pair.agg(F.sum("ab").alias("t"))
     own_a = own.groupBy("text", "a").agg(F.sum(F.col("m") * F.col("n")).alias("own_a"))
-    rows = own.join(own_a, ["text", "a"]).join(F.broadcast(pair), ["a", "b"]).join(F.broadcast(left), "a").join(F.broadcast(right), "b").crossJoin(F.broadcast(total))
+    rows = own.join(own_a, ["text", "a"]).join(pair, ["a", "b"]).join(left, "a").join(right, "b").crossJoin(F.broadcast(total))  # one row
     own_ab = F.col("m") * F.col("n")
     base = (F.col("b_n") - own_ab + 1.0) / (F.col("t") - own_ab + 100.0)
     types = F.col("a_types") - F.when(F.col("ab") == own_ab, 1).otherwise(0)

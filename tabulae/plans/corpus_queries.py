@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabulae.functions.measures import fold
 from tabulae.functions.numerals import parse_value, value_sql
-from tabulae.functions.text import chi_squared_p, phonetic_distance, strip_diacritics
+from tabulae.functions.text import chi_squared_p, strip_diacritics
 from tabulae.operators import association, counts, evaluation, ledgers, sequences
 from tabulae.operators.query import Condition, merge, query, search
 from tabulae.plans.registry import Query, register
@@ -135,12 +135,6 @@ register(
     TOK + """, l AS (SELECT text, count(*) AS l FROM tok WHERE period = 'en' GROUP BY text), r AS (SELECT text, count(*) AS r FROM tok WHERE period = 'fr' GROUP BY text)
 SELECT text, l, r, round(log2(((l + 0.5) / ((SELECT sum(l) FROM l) + 0.5)) / ((r + 0.5) / ((SELECT sum(r) FROM r) + 0.5))), 6) AS log_ratio FROM l JOIN r USING (text)""",
 )
-register(
-    "brainerd_robinson",
-    _tok(lambda t: association.brainerd_robinson(t.groupBy("site", "text").agg(F.count("*").alias("n")), "site", "text")),
-    TOK + """, c AS (SELECT site, text, count(*) AS n FROM tok GROUP BY ALL), s AS (SELECT site, text, 100.0::DOUBLE * n / sum(n) OVER (PARTITION BY site) AS p FROM c)
-SELECT x.site AS a, y.site AS b, round(2 * sum(least(x.p, y.p)), 4) AS similarity FROM s x JOIN s y USING (text) WHERE x.site < y.site GROUP BY ALL""",
-)
 register(
     "cosine_neighbours",
     lambda s, d: association.cosine_neighbours(table(s, d, "embeddings"), table(s, d, "embeddings").filter("vec_id % 20 = 0")),
@@ -163,12 +157,6 @@ c AS (SELECT sign, CAST(coalesce(sum(n) FILTER (k = 0 OR k = size - 1), 0) AS BI
 SELECT sign, edge_n, inner_n, round((CASE WHEN edge_n / et >= inner_n / it THEN 1 ELSE -1 END) * {g2_sql('edge_n', 'inner_n', 'et', 'it')}, 3) AS bias FROM c, t""",
 )
 register("productivity", _voc(sequences.productivity), VOCAB + " SELECT right(text, 3) AS suffix, count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (n = 1) AS hapaxes, round(count(*) FILTER (n = 1) / sum(n)::DOUBLE, 6) AS productivity FROM voc WHERE length(text) > 3 GROUP BY 1")
-register(
-    "successor_variety",
-    _voc(sequences.successor_variety),
-    VOCAB + """, p AS (SELECT d, left(text, d) AS prefix, count(DISTINCT text[d+1:d+1]) AS variety FROM voc, (SELECT unnest([1, 2, 3, 4])::BIGINT AS d) WHERE length(text) > d GROUP BY ALL)
-SELECT d, prefix, variety, round(variety / avg(variety) OVER (PARTITION BY d), 6) AS ratio FROM p""",
-)
 register(
     "surprisal",
     _voc(sequences.witten_bell_surprisal),
@@ -202,8 +190,9 @@ C = Condition
 QUERIES = {
     "query_fold": ([C("site-is", "src0"), C("period-is", "fr", "OR"), C("id-contains", "7", "AND", True), C("word-prefix", "the"), C("word-suffix", "ing", "AND")], "documents", "((site = 'src0' OR period = 'fr') AND NOT contains(CAST(doc_id AS VARCHAR), '7')) AND (starts_with(upper(text), 'THE') AND ends_with(upper(text), 'ING'))"),
     "query_words": ([C("period-is", "de"), C("scribe-is", "3", "OR"), C("word-contains", "ung"), C("word-prefix", "en", "OR"), C("word-suffix", "s", "AND", True)], "words", "(period = 'de' OR scribe = '3') AND ((contains(upper(replace(text, 'ß', 'ss')), 'UNG') OR starts_with(upper(text), 'EN')) AND NOT ends_with(upper(replace(text, 'ß', 'ss')), 'S'))"),
-    "query_contains_word": ([C("contains-word", "thin"), C("contains-word", "ouan", "OR"), C("site-is", "src3", "AND", True)], "documents", "(doc_id IN (SELECT doc_id FROM tok WHERE text = 'thin') OR doc_id IN (SELECT doc_id FROM tok WHERE text = 'ouan')) AND NOT site = 'src3'"),
-    "query_empty_value": ([C("site-is", ""), C("word-is", "thin")], "documents", "text = 'thin'"),
+    "query_contains_word": ([C("ins-contains-word", "thin"), C("ins-contains-word", "ouan", "OR"), C("site-is", "src3", "AND", True)], "documents", "(doc_id IN (SELECT doc_id FROM tok WHERE text = 'thin') OR doc_id IN (SELECT doc_id FROM tok WHERE text = 'ouan')) AND NOT site = 'src3'"),
+    "query_empty_value": ([C("site-is", ""), C("word-prefix", "thin")], "documents", "starts_with(text, 'thin')"),
+    "query_cooccurs": ([C("period-is", "en"), C("word-cooccurs-with", "thin"), C("word-prefix", "a")], "words", "period = 'en' AND starts_with(text, 'a') AND text <> 'thin' AND text IN (SELECT text FROM tok WHERE doc_id IN (SELECT doc_id FROM tok WHERE text = 'thin'))"),
 }
 for name, (conditions, output, where) in QUERIES.items():
     tail = f" SELECT text, count(DISTINCT doc_id) AS docs FROM tok WHERE {where} GROUP BY text" if output == "words" else f" SELECT DISTINCT doc_id FROM tok WHERE {where}"
@@ -291,7 +280,7 @@ for name, by in (("scribal_hands", "scribe"), ("site_profile", "site"), ("period
 # -- bins, numerals, dossiers ------------------------------------------------------------
 register("timeline_bins", lambda s, d: table(s, d, "events").groupBy((F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("bin")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")), "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bin, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 register("numerals", lambda s, d: table(s, d, "documents").select("doc_id", F.explode(F.split("text", "\\s+")).alias("token")).select("doc_id", "token", parse_value(F.col("token")).alias("value")).filter("value IS NOT NULL"), f"SELECT doc_id, token, {value_sql('token')} AS value FROM (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents) WHERE {value_sql('token')} IS NOT NULL")
-register("dossiers", lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("doc_id")), 1, 3), lambda x: x.cast("string")), ",").alias("first_docs")), "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') AS first_docs FROM documents GROUP BY ALL")
+register("dossiers", lambda s, d: counts.group_heads(table(s, d, "documents"), ["source", "lang"], "doc_id", "n_chars"), "SELECT source, lang, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars, array_to_string(list_slice(list_sort(list(doc_id)), 1, 3), ',') AS first_docs FROM documents GROUP BY ALL")
 register("split_tokens_unseen", _tok(lambda t: t.filter("doc_id % 10 = 9").select("text").distinct().join(t.filter("doc_id % 10 <> 9").select("text").distinct(), "text", "left_anti")), TOK + " SELECT DISTINCT text FROM tok WHERE doc_id % 10 = 9 AND text NOT IN (SELECT text FROM tok WHERE doc_id % 10 <> 9)")
 register("bridge_coverage", _tok(lambda t: t.join(vocabulary(t.filter("site = 'src0'")).filter("n >= 3").select("text", F.lit(1).alias("known")), "text", "left").groupBy("period").agg(F.count("*").alias("tokens"), F.count("known").alias("known"))), TOK + ", k AS (SELECT text FROM tok WHERE site = 'src0' GROUP BY text HAVING count(*) >= 3) SELECT period, count(*) AS tokens, count(k.text) AS known FROM tok LEFT JOIN k USING (text) GROUP BY period")
 register("search_fold_counts", _tok(lambda t: t.select(fold(F.col("text")).alias("text")).groupBy("text").agg(F.count("*").alias("n"))), TOK + " SELECT translate(lower(text), 'ς', 'σ') AS text, count(*) AS n FROM tok GROUP BY 1")
@@ -299,7 +288,6 @@ register("sentences", lambda s, d: _sentences(s, d), "SELECT doc_id, CAST(genera
 register("hourly_counts", lambda s, d: _hourly(s, d), "SELECT event_type, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL")
 register("stripped_words", _tok(lambda t: t.select(strip_diacritics(F.col("text")).alias("text")).groupBy("text").agg(F.count("*").alias("n"))), TOK + " SELECT translate(text, 'àáâäãåèéêëìíîïòóôöõùúûüçñýÿ', 'aaaaaaeeeeiiiiooooouuuucnyy') AS text, count(*) AS n FROM tok GROUP BY 1")
 register("assoc_p_values", _tok(lambda t: association.assoc(t, "thin").select("text", "chi2", F.round(chi_squared_p("chi2"), 6).alias("p"))))
-register("nearest_words", _tok(lambda t: _nearest(t, "thintion")))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -312,9 +300,3 @@ def _hourly(spark: SparkSession, d: str) -> DataFrame:
     from tabulae.streaming.sentences import windowed_counts
 
     return windowed_counts(table(spark, d, "events"), "ts", "event_type").select("event_type", F.unix_timestamp("start").alias("hour"), "n")
-
-
-def _nearest(t: DataFrame, word: str) -> DataFrame:
-    """The 20 words with the smallest phonetic distance; the vocabulary is scored, not tokens."""
-    rows = vocabulary(t).filter(F.length("text").between(len(word) - 4, len(word) + 4))
-    return rows.select("text", "n", F.round(phonetic_distance("text", F.lit(word)), 6).alias("distance")).orderBy("distance", "text").limit(20)

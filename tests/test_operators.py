@@ -1,5 +1,6 @@
 import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +8,8 @@ from tabulae.functions import text
 from tabulae.functions.measures import chi_squared_2x2, log_likelihood_2x2, mulberry32, wilson
 from tabulae.functions.numerals import format_value, parse_value
 from tabulae.operators.ledgers import check_balances
+from tabulae.operators import resampling
 from tabulae.operators.query import Condition, query, sign_pattern
-from tabulae.sources import readers
 from tabulae.streaming.sentences import sentences, windowed_counts
 
 
@@ -66,24 +67,22 @@ def test_sign_patterns():
     assert not re.match(sign_pattern("ka-*-ru"), "-KA-RU")
 
 
-def test_distance_alignment_beta_code_and_tails(spark):
-    assert text.weighted_distance("", "") == 0 and text.weighted_distance("pa", "ba") == 0.25
-    assert text.align(["a", "b"], ["a", "c", "b"]) == [("a", "a"), (None, "c"), ("b", "b")]
-    assert text.beta_to_unicode("lo/gos") == "λόγος"
-    assert math.isclose(text.fisher_exact(3, 4, 4, 8), 0.485714285714, rel_tol=1e-9)
-    row = spark.createDataFrame([(3.841458820694124, "é")], "x double, s string").select(text.chi_squared_p("x").alias("p"), text.normalize_nfc("s").alias("s")).first()
-    assert math.isclose(row.p, 0.05, rel_tol=1e-9) and row.s == "é"
-
-
-def test_records_and_conllu_round_trip(spark, tmp_path):
-    (tmp_path / "r.jsonl").write_text('{"id": "a", "lines": [["ka-ru", "12"], ["lo"]]}\n{"id": "b", "text": "x  y"}\n{"id": "c"}\n')
-    rows = readers.records_to_tokens(readers.read_records(spark, str(tmp_path / "r.jsonl"))).orderBy("doc_id", "line_no", "token_order").collect()
-    assert [(r.doc_id, r.line_no, r.text, r.kind) for r in rows] == [("a", 0, "ka-ru", "word"), ("a", 0, "12", "numeral"), ("a", 1, "lo", "word"), ("b", 0, "x", "word"), ("b", 0, "y", "word")]
-    (tmp_path / "u.conllu").write_text("# sent_id = s1\n1\tκαι\tκαι\tCCONJ\t_\t_\t0\troot\t_\t_\n\n# sent_id = s2\n1\ta\t_\tX\t_\t_\t0\troot\t_\t_\n2\tb\t_\tX\t_\t_\t1\tdep\t_\t_\n")
-    first = readers.read_conllu(spark, str(tmp_path / "u.conllu"))
-    readers.write_conllu(first, str(tmp_path / "out"))
-    names = [c for c in first.columns if c != "file"]
-    assert sorted(map(str, first.select(names).collect())) == sorted(map(str, readers.read_conllu(spark, str(tmp_path / "out/*.txt")).select(names).collect()))
+def test_tails(spark):
+    assert math.isclose(float(resampling._fisher(*(pd.Series([x]) for x in (3, 4, 4, 8)))[0]), 0.485714285714, rel_tol=1e-9)
+    row = spark.createDataFrame([(3.841458820694124,)], "x double").select(text.chi_squared_p("x").alias("p")).first()
+    assert math.isclose(row.p, 0.05, rel_tol=1e-9)
+
+
+def test_nulls_and_temperature(spark):
+    words = ["ka-ru", "te-lo", "mi-ka-no", "pa"]
+    draw = resampling.generator(3)
+    assert sorted(resampling.length_reshuffle_null(words, draw)) == sorted(words)
+    dealt = resampling.within_word_null(words, draw)
+    assert [w.count("-") for w in dealt] == [w.count("-") for w in words] and sorted("-".join(dealt).split("-")) == sorted("-".join(words).split("-"))
+    row = resampling.monte_carlo(spark.createDataFrame([(w,) for w in words], "text string"), lambda ws: float(len(ws)), replicates=9).first()
+    assert (row.observed, row.p, row.null_low, row.null_high) == (4.0, 1.0, 4.0, 4.0)
+    rows = spark.createDataFrame([([2.0 * k, 0.0], 0 if k % 4 else 1) for k in range(40)], "logits array<double>, label int")
+    assert 0.05 < resampling.fit_temperature(rows) < 20 and rows.select(resampling.top1_confidence(F.col("logits"), 1.0).alias("p")).filter("p < 0.5").count() == 0
 
 
 def test_streams_equal_batches(spark, tmp_path):

@@ -12,7 +12,7 @@ def from_text(spark: SparkSession, path: str, split: str = "line") -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("text"))
     if split == "whole":
         return files.select(F.col("file").alias("doc_id"), "text")
-    parts = F.filter(F.transform(F.split("text", "\n\\s*\n" if split == "paragraph" else "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("text", "\n\\s*\n" if split == "paragraph" else "\n"), lambda x: F.regexp_replace(x, "^\\s+|\\s+$", "")), lambda x: x != "")
     return files.select("file", F.posexplode(parts).alias("k", "text")).select(F.concat("file", F.lit("#"), F.col("k").cast("string")).alias("doc_id"), "text")
 
 

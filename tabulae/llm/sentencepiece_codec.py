@@ -27,7 +27,7 @@ from tabulae.llm.common import arrow_map, only
 
 MARK = "▁"
 #: Encoded units kept in one worker before the table is emptied.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 #: Up to this length the bitfield of failed positions is one whole number.
 LONG = 512
 
@@ -80,7 +80,9 @@ class MergeEncoder:
         self.shorter: dict[str, str] = {}
         for p in self.ids:
             self.shorter[p] = next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), "")
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: what may follow a piece, as far as it has been asked
+        self.after: dict[str, dict[str, bool]] = {p: {} for p in self.ids}
+        self.asked = 0
         self.inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         strange = "".join(sorted({c for p in self.ids for c in p} - self.alphabet))
         if strange:
@@ -89,8 +91,12 @@ class MergeEncoder:
             raise ValueError("a piece holds a word marker after other characters")
         self.units_re = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.newline_free = "\n" not in self.alphabet
+        # what an id that is no byte decodes to; control ids show nothing
+        self.shown = {i: "" if i in special else p.replace(MARK, " ") for i, p in enumerate(self.pieces) if i not in self.id_byte}
         self.as_ids: dict[str, str] = {}
         self.as_text: dict[str, str] = {}
+        self.closing: dict[str, tuple[str, str]] = {}
+        self.closing_signs = frozenset(".,!") & self.alphabet
 
     # -- merging step by step: builds the table of splits, and handles tied pieces ------
     def _merge(self, s: str) -> list[str]:
@@ -154,9 +160,12 @@ class MergeEncoder:
                     a = split[a][1]
 
     def _compatible(self, a: str, b: str) -> bool:
-        if len(self.pairs) > 200_000:
-            self.pairs.clear()
-        got = self.pairs[a, b] = self._remerge(a, b)
+        self.asked += 1
+        if self.asked > 400_000:
+            for known in self.after.values():
+                known.clear()
+            self.asked = 0
+        got = self.after[a][b] = self._remerge(a, b)
         return got
 
     def _backtrack(self, s: str) -> list[str]:
@@ -165,31 +174,33 @@ class MergeEncoder:
             longest[end - n + 1] = n  # ends rise, so the last match from a place is its longest
         if len(s) > LONG:
             return self._backtrack_long(s, longest)
-        pairs, shorter = self.pairs, self.shorter
+        after, shorter = self.after, self.shorter
         failed = 0
-        out: list[str] = []
         size = len(s)
-        pos, piece, last = 0, s[: longest[0]], ""
+        # nothing stands before the first piece: the longest one is tried at once
+        piece = last = s[: longest[0]]
+        pos = len(piece)
+        out = [piece]
+        piece = s[pos : pos + longest[pos]] if pos < size else ""
         while pos < size:
-            while True:
+            known = after[last] if last else None
+            while piece:
                 end = pos + len(piece)
-                if not failed >> end & 1:
-                    if not last:
+                if not failed or not failed >> end & 1:
+                    if known is None:
                         break
-                    fits = pairs.get((last, piece))
+                    fits = known.get(piece)
                     if fits or fits is None and self._compatible(last, piece):
                         break
                 piece = shorter[piece]
-                if not piece:
-                    break
             if piece:
                 out.append(piece)
                 pos, last = end, piece
                 piece = s[pos : pos + longest[pos]] if pos < size else ""
             elif out:
                 failed |= 1 << pos
-                piece = out.pop()
-                pos -= len(piece)
+                piece = shorter[out[-1]]
+                pos -= len(out.pop())
                 last = out[-1] if out else ""
             else:
                 return self._merge(s)
@@ -197,7 +208,7 @@ class MergeEncoder:
 
     def _backtrack_long(self, s: str, longest: list[int]) -> list[str]:
         """The same walk with the bitfield in bytes, so that a step costs the same at any length."""
-        pairs, shorter = self.pairs, self.shorter
+        after, shorter = self.after, self.shorter
         size = len(s)
         failed = bytearray(size // 8 + 1)
         out: list[str] = []
@@ -206,7 +217,7 @@ class MergeEncoder:
             while piece:
                 end = pos + len(piece)
                 if not failed[end >> 3] >> (end & 7) & 1:
-                    fits = True if not last else pairs.get((last, piece))
+                    fits = True if not last else after[last].get(piece)
                     if fits or fits is None and self._compatible(last, piece):
                         break
                 piece = shorter[piece]
@@ -246,6 +257,10 @@ class MergeEncoder:
 
     def decode_unit(self, ids: list[int]) -> str:
         """Pieces joined, markers as spaces, bytes as UTF-8; the dummy prefix stays."""
+        try:
+            return "".join(map(self.shown.__getitem__, ids))
+        except KeyError:
+            pass
         out, raw = [], bytearray()
         for i in ids:
             if i in self.id_byte:
@@ -254,8 +269,7 @@ class MergeEncoder:
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw.clear()
-            if i not in self.special:
-                out.append(self.pieces[i].replace(MARK, " "))
+            out.append(self.shown[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
         return "".join(out)
@@ -271,14 +285,17 @@ class MergeEncoder:
         if len(self.as_ids) > CACHE_UNITS:
             self.as_ids.clear()
             self.as_text.clear()
-        known = self.as_ids
-        for u in units:
-            if u in known:
-                continue
-            if len(u) > 2 and u[-1] in ".,!" and u[-2:] not in self.inside and (head := known.get(u[:-1])):
+        known, closing = self.as_ids, self.closing
+        for u in set(units).difference(known):
+            if len(u) > 2 and u[-1] in self.closing_signs and u[-2:] not in self.inside and (head := known.get(u[:-1])):
                 # no piece crosses into the closing sign, so the two parts stand for themselves
-                known[u] = f"{head},{known.get(u[-1]) or ','.join(map(str, self.encode_unit(u[-1])))}"
-                self.as_text[u] = self.decode_unit(list(map(int, known[u].split(","))))
+                sign = closing.get(u[-1])
+                if sign is None:
+                    ids = self.encode_unit(u[-1])
+                    # a piece of the alphabet, so no bytes run on into it: it decodes by itself
+                    sign = closing[u[-1]] = (",".join(map(str, ids)), self.decode_unit(ids))
+                known[u] = f"{head},{sign[0]}"
+                self.as_text[u] = self.as_text[u[:-1]] + sign[1]
                 continue
             ids = self.encode_unit(u)
             known[u] = ",".join(map(str, ids))

@@ -20,7 +20,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def _load() -> None:
-    from tabulae.plans import account_queries, corpus_queries, model_queries, morphology_queries, resampling_queries  # noqa: F401
+    from tabulae.plans import account_queries, corpus_queries, model_queries, morphology_queries, resampling_queries, scoring_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -6,7 +6,9 @@ share.
    so a segment that stands in a third of all documents sends few rows to its key.
 2. ``scan_rows``: rows sorted by (anchor, segment) stream past. Segments that are equal as a
    whole are marked. Where one anchor has several different segments, one of each kind goes
-   on, since some of their windows may still be equal. State is one row, whatever the group.
+   on, since some of their windows may still be equal; with an index only those that agree in
+   one of their sides (``anchors``), unless the anchor goes beyond what a task holds at once.
+   State is one row, whatever the group.
    Sorted runs of earlier batches (operator 7) are read along with the rows and merged in.
 3. ``asked_windows``: the texts of those segments, which are few: the borders of repeated runs.
    Texts are read where they lie (``texts``), never shuffled.
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulae.llm.anchors import mix, segments
+from tabulae.llm.anchors import SIDE, mix, segments
 from tabulae.llm.common import BATCH_ROWS, limit_batches
 from tabulae.llm.texts import Texts, visit
 
@@ -35,6 +37,9 @@ FLUSH = 400_000
 #: kinds of rows: a segment, one that is known to repeat; then marks, segments to compare, those
 #: of them that are decided already, and entries of a run
 SEGMENT, REPEATED, MARK, ASK, ASK_DECIDED, ENTRY = range(6)
+#: In segments and entries the sides stand above the kind.
+KIND_BITS = 3
+KIND = (1 << KIND_BITS) - 1
 ROWS = "kind int, anchor long, whole long, doc long, loc long, place long"
 FIELDS = ["kind", "anchor", "whole", "doc", "loc", "place"]
 TYPES = (np.int32, *[np.int64] * 5)
@@ -96,10 +101,11 @@ def anchor_rows(texts: Texts, windows: Windows) -> DataFrame:
         raise ValueError(f"segments of more than {LIMIT} windows: raise gram or lower length")
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        doc, loc, first, count, anchor, whole = (np.concatenate(x) for x in zip(*held))
+        doc, loc, first, count, anchor, whole, *sides = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort((first, loc, doc, whole, anchor))
         doc, loc, first, count, anchor, whole = (x[order] for x in (doc, loc, first, count, anchor, whole))
+        above = sides[0][order] << KIND_BITS if sides else np.zeros(len(order), np.int32)
         new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])])
         group = np.cumsum(new) - 1
         at = np.flatnonzero(new)
@@ -112,7 +118,7 @@ def anchor_rows(texts: Texts, windows: Windows) -> DataFrame:
         idx, place = packed(f, c)
         # the ``anchor`` of a mark only spreads it
         yield _batch(MARK, mix((loc[picked][idx] * 0x9E3779B1 ^ place).view(np.uint64)).view(np.int64), 0, doc[picked][idx], loc[picked][idx], place)
-        yield _batch(np.where(many[group][send], REPEATED, SEGMENT), anchor[send], whole[send], doc[send], loc[send], first[send] << SHIFT | count[send])
+        yield _batch(np.where(many[group][send], REPEATED, SEGMENT) | above[send], anchor[send], whole[send], doc[send], loc[send], first[send] << SHIFT | count[send])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -120,11 +126,11 @@ def anchor_rows(texts: Texts, windows: Windows) -> DataFrame:
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, BATCH_ROWS):
                 batch = whole_batch.slice(at, BATCH_ROWS)
-                s = segments(*symbols(batch.column(2).to_pylist()), length, gram)
+                s = segments(*symbols(batch.column(2).to_pylist()), length, gram, sides=earlier)
                 doc, loc = batch.column(0).to_numpy()[s.row], batch.column(1).to_numpy()[s.row]
                 if not len(doc):
                     continue
-                held.append((doc, loc, s.start, s.windows, s.anchor, s.whole))
+                held.append((doc, loc, s.start, s.windows, s.anchor, s.whole, *([s.sides] if earlier else [])))
                 size += len(doc)
                 if size > FLUSH:
                     yield from flush(held)
@@ -135,6 +141,20 @@ def anchor_rows(texts: Texts, windows: Windows) -> DataFrame:
     return rows.mapInArrow(run, ROWS)
 
 
+def _agree(number: np.ndarray, side: np.ndarray, whole: np.ndarray, undecided: np.ndarray) -> np.ndarray:
+    """Which segments have one of another kind, and one that is undecided, among those of their
+    anchor (``number``) and side; 0 is no side."""
+    key = number.astype(np.int64) << SIDE | side
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    several = np.logical_or.reduceat(whole[order] != whole[order][at][group], at)
+    open_ = np.logical_or.reduceat(undecided[order], at)
+    out = np.empty(len(key), bool)
+    out[order] = (several & open_)[group]
+    return out & (side > 0)
+
+
 def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -> DataFrame:
     """Rows of ``ROWS``: marks, segments whose windows must be compared, and, for an index, the
     entries that are new. ``history`` opens the sorted entries of earlier runs: called with a
@@ -152,6 +172,7 @@ def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -
         held: list[dict[str, np.ndarray]] = []
         size = 0
         old_kind = ENTRY
+        fields = [*FIELDS, "sides"]
 
         def merged(r: dict[str, np.ndarray], final: bool) -> dict[str, np.ndarray]:
             """The rows with those of earlier runs that stand in the same anchors."""
@@ -167,7 +188,7 @@ def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -
                 return r
             at = np.minimum(np.searchsorted(known, old["anchor"]), len(known) - 1)
             old = old[known[at] == old["anchor"]]
-            both = {k: np.concatenate([np.full(len(old), old_kind, np.int32) if k == "kind" else old[k], r[k]]) for k in FIELDS}
+            both = {k: np.concatenate([np.full(len(old), old_kind, np.int32) if k == "kind" else old[k], r[k]]) for k in fields}
             order = np.lexsort((both["place"], both["loc"], both["doc"], both["whole"], both["anchor"]))
             return {k: v[order] for k, v in both.items()}
 
@@ -175,7 +196,7 @@ def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -
             nonlocal last, before, waiting
             r = merged(r, final)
             if last is not None:
-                r = {k: np.concatenate([last[k], r[k]]) for k in FIELDS}
+                r = {k: np.concatenate([last[k], r[k]]) for k in fields}
             n = len(r["doc"]) - (not final)
             if n <= 0:
                 last = r if len(r["doc"]) else last
@@ -217,6 +238,13 @@ def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -
                 waiting = None
             good = (kinds > 0) & (open_ > 0)
             ready = good[asks["number"]]
+            if history is not None:
+                # an anchor that stands in this chunk as a whole: all its kinds are at hand
+                inner = np.flatnonzero(ready & (asks["number"] > 0) & (final | (asks["number"] < number[-1])))
+                if len(inner):
+                    x = {k: v[inner] for k, v in asks.items()}
+                    left, right = x["sides"] >> SIDE, x["sides"] & ((1 << SIDE) - 1)
+                    ready[inner] = _agree(x["number"], left, x["whole"], x["undecided"]) | _agree(x["number"], right, x["whole"], x["undecided"])
             tail = (asks["number"] == number[-1]) & ~ready
             if not final:
                 waiting = {k: v[tail] for k, v in asks.items()} | {"kinds": kinds[number[-1]], "open": open_[number[-1]]}
@@ -225,7 +253,7 @@ def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -
             if sure.any():
                 yield _batch(MARK, 0, 0, cols["doc"][sure], cols["loc"][sure], cols["place"][sure])
             if history is not None and entry.any():
-                yield _batch(ENTRY, *(cols[k][entry] for k in FIELDS[1:]))
+                yield _batch(cols["sides"][entry].astype(np.int32) << KIND_BITS | ENTRY, *(cols[k][entry] for k in FIELDS[1:]))
 
         for batch in batches:
             if not batch.num_rows:
@@ -235,14 +263,14 @@ def scan_rows(rows: DataFrame, earlier: bool, history: Callable | None = None) -
             if done.any():
                 yield batch.filter(pa.array(done)).select(FIELDS)
                 r = {k: v[~done] for k, v in r.items()}
-            held.append(r)
+            held.append(r | {"kind": r["kind"] & KIND, "sides": r["kind"] >> KIND_BITS})
             size += len(r["doc"])
             if size >= 50_000:
-                yield from judge({k: np.concatenate([h[k] for h in held]) for k in FIELDS}, False)
+                yield from judge({k: np.concatenate([h[k] for h in held]) for k in fields}, False)
                 held, size = [], 0
         if held or last is not None:
-            empty = {k: np.zeros(0, t) for k, t in zip(FIELDS, TYPES)}
-            yield from judge({k: np.concatenate([empty[k], *(h[k] for h in held)]) for k in FIELDS}, True)
+            empty = {k: np.zeros(0, t) for k, t in zip(fields, (*TYPES, np.int32))}
+            yield from judge({k: np.concatenate([empty[k], *(h[k] for h in held)]) for k in fields}, True)
 
     return rows.mapInArrow(run, ROWS)
 

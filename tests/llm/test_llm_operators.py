@@ -437,6 +437,40 @@ def test_an_index_survives_as_its_folder(spark):
     assert [r.n_removed for r in FingerprintIndex(spark, first.path).add(frame(spark, [(4, half)]), keep=False).collect()] == [40]
 
 
+def test_texts_that_only_share_an_anchor_are_not_compared(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    phrases = [[word() for _ in range(5)] for _ in range(20)]
+    strangers = [" ".join(w for p in rng.sample(phrases, 12) for w in [*p, *(word() for _ in range(rng.randint(8, 12)))]) for _ in range(40)]
+    long = [word() for _ in range(200)]
+    # a word changed at each place, so that repeats end at each distance before and after their anchors
+    near = [" ".join(long[:k] + ["x", f"y{k}"][k % 2 :][:1] + long[k + 1 :]) for k in range(0, 200, 3)]
+    asked = []
+    verified = FingerprintIndex._verified
+    monkeypatch.setattr(FingerprintIndex, "_verified", lambda self, files, rows, length: asked.append(rows.count()) or verified(self, files, rows, length))
+    rows = list(enumerate(strangers))
+    assert collected(remove_earlier_windows(frame(spark, rows))) == brute_words(rows, 13) and asked == [0, 0, 0]
+    rows = list(enumerate(strangers + near))
+    rng.shuffle(rows)
+    for gram in (5, 6, 13):
+        assert collected(remove_earlier_windows(frame(spark, rows), 13, gram)) == brute_words(rows, 13)
+
+
+def test_an_index_without_sides_is_refused(spark):
+    index = FingerprintIndex(spark, length=5, gram=2, bits=2)
+    index.add(frame(spark, [(1, "a b c d e f")]))
+    del index.state["sides"]
+    index._commit()
+    with pytest.raises(ValueError):
+        FingerprintIndex(spark, index.path)
+
+
+def test_batches_of_null_and_last_doc_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(None, text), (None, text + " x"), (1, text), (None, "a " + text), (2, "b"), ((1 << 63) - 1, text)]
+    assert collected(remove_earlier_windows(frame(spark, rows), 5, 2)) == brute_words(rows, 5)
+
+
 # -- 8 -------------------------------------------------------------------------------------
 def test_token_counts_equal_the_tokenizer(spark):
     import base64

@@ -1,5 +1,7 @@
 import math
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +87,27 @@ def test_nulls_and_temperature(spark):
     assert 0.05 < resampling.fit_temperature(rows) < 20 and rows.select(resampling.top1_confidence(F.col("logits"), 1.0).alias("p")).filter("p < 0.5").count() == 0
 
 
+def test_draws_in_blocks_are_the_sequential_generator():
+    draw = resampling.generator(7)
+    want = [draw() for _ in range(400)]
+    assert resampling.draws_block(7, 0, 400).tolist() == want and resampling.draws_block(7, 150, 100).tolist() == want[150:250]
+
+
+def test_entropy_shuffles_no_draws_and_takes_any_block(spark, monkeypatch):
+    counts = spark.createDataFrame([("a", 50), ("b", 0), ("c", 7), (None, 3)], "item string, n long")
+    want = tuple(resampling.bootstrap_entropy(counts, 30).first())
+    draw, words, hs = resampling.generator(1), ["a"] * 50 + ["c"] * 7 + ["-"] * 3, []
+    for _ in range(30):
+        got = Counter(words[int(draw() * 60)] for _ in range(60))
+        hs.append(math.log2(60) - sum(c * math.log2(c) for c in got.values()) / 60)
+    assert want == pytest.approx((sorted(hs)[1], sorted(hs)[28]), abs=2e-6)
+    # a row for each block of draws, not one for each draw
+    assert resampling._resampled(spark, 2, 3_000_000, 1, lambda rep, k: [np.array([len(k)])], "n long").count() == 6
+    monkeypatch.setattr(resampling, "BLOCK", 40)
+    monkeypatch.setattr(resampling, "HELD", 2)
+    assert tuple(resampling.bootstrap_entropy(counts, 30).first()) == want
+
+
 def test_streams_equal_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"doc_id": 1, "text": "One. Two! "}\n{"doc_id": 2, "text": "Three"}\n')

@@ -108,6 +108,21 @@ def test_entropy_shuffles_no_draws_and_takes_any_block(spark, monkeypatch):
     assert tuple(resampling.bootstrap_entropy(counts, 30).first()) == want
 
 
+def test_resampled_means_take_any_block(spark, monkeypatch):
+    rows = [(k, float(k * k % 17), None if k % 5 == 0 else k % 3) for k in range(60)]
+    run = lambda: sorted(map(tuple, resampling.bootstrap_means(spark.createDataFrame(rows, "k long, x double, y int"), ["x", "y"], 20).collect()))
+    draw, ms = resampling.generator(0), []
+    for _ in range(20):
+        own = [rows[int(draw() * 60)] for _ in rows]
+        ms.append((np.mean([r[1] for r in own]), np.mean([r[2] for r in own if r[2] is not None])))
+    want = [(*np.quantile([m[j] for m in ms], (0.025, 0.975)),) for j in (0, 1)]
+    got = run()
+    assert [r[2:] for r in got] == [pytest.approx(w, abs=2e-6) for w in want]
+    monkeypatch.setattr(resampling, "BLOCK", 40)
+    monkeypatch.setattr(resampling, "HELD", 50)
+    assert run() == got
+
+
 def test_streams_equal_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"doc_id": 1, "text": "One. Two! "}\n{"doc_id": 2, "text": "Three"}\n')

@@ -44,3 +44,10 @@ def test_sets_are_counted_where_they_are_read(spark, documents):
         assert "InMemoryRelation" in plan(df)  # one pass over the texts
     found = {r.text: (r.joint, r.right_n) for r in association.assoc(adapter.document_sets(documents), "thin").collect()}
     assert found == {"the": (2, 4), "man": (1, 2), "a": (1, 1), "end": (1, 1), "old": (1, 1)}
+
+
+def test_words_of_a_line_are_found_once(documents):
+    df = corpus_queries.line_positions(corpus_queries.line_tokens_with_place(documents))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    got = {r.text: tuple(r)[1:] for r in df.collect()}
+    assert got["the"] == (2, 2, 2) and got["thin"] == (2, 2, 1) and got["ox"] == (1, 1, 0)

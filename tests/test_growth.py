@@ -51,3 +51,12 @@ def test_words_of_a_line_are_found_once(documents):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
     got = {r.text: tuple(r)[1:] for r in df.collect()}
     assert got["the"] == (2, 2, 2) and got["thin"] == (2, 2, 1) and got["ox"] == (1, 1, 0)
+
+
+def test_documents_are_counted_where_they_are_read(spark, documents):
+    tokens = adapter.tokens(documents.filter("doc_id IS NOT NULL"))
+    df = counts.document_dispersions(adapter.document_counts(documents.filter("doc_id IS NOT NULL")), 2)
+    want = sorted(map(tuple, counts.dispersions(tokens, 2).collect()))
+    assert sorted(map(tuple, df.collect())) == want and len(want) == 3
+    once = counts.document_dispersions(adapter.document_counts(documents.filter("doc_id IN (1, 5)")), 1)
+    assert not any("doc_id" in x for x in shuffled(once))

@@ -60,3 +60,9 @@ def test_documents_are_counted_where_they_are_read(spark, documents):
     assert sorted(map(tuple, df.collect())) == want and len(want) == 3
     once = counts.document_dispersions(adapter.document_counts(documents.filter("doc_id IN (1, 5)")), 1)
     assert not any("doc_id" in x for x in shuffled(once))
+
+
+def test_coverage_joins_no_tokens(documents):
+    df = counts.coverage(adapter.tokens(documents), "site = 's0'", 2, "period")
+    assert "Join" not in plan(df)
+    assert {r.period: (r.tokens, r.known) for r in df.collect()} == {"en": (13, 10), "fr": (2, 1), None: (3, 2)}

@@ -66,3 +66,12 @@ def test_coverage_joins_no_tokens(documents):
     df = counts.coverage(adapter.tokens(documents), "site = 's0'", 2, "period")
     assert "Join" not in plan(df)
     assert {r.period: (r.tokens, r.known) for r in df.collect()} == {"en": (13, 10), "fr": (2, 1), None: (3, 2)}
+
+
+def test_document_conditions_fold_tokens_before_they_are_shuffled(documents):
+    tokens = adapter.tokens(documents)
+    df = query(tokens, [Condition("ins-contains-word", "thin"), Condition("ins-contains-word", "old", "AND"), Condition("site-is", "s0", "OR")])
+    assert "ObjectHashAggregate" not in plan(df) and "Join" not in plan(df)
+    assert {r.doc_id for r in df.collect()} == {1, 2, None}
+    df = query(tokens, [Condition("ins-contains-word", "old"), Condition("word-prefix", "t")], "words")
+    assert sorted(map(tuple, df.collect())) == [("the", 1), ("thin", 1)]

@@ -75,3 +75,19 @@ def test_document_conditions_fold_tokens_before_they_are_shuffled(documents):
     assert {r.doc_id for r in df.collect()} == {1, 2, None}
     df = query(tokens, [Condition("ins-contains-word", "old"), Condition("word-prefix", "t")], "words")
     assert sorted(map(tuple, df.collect())) == [("the", 1), ("thin", 1)]
+
+
+def test_neighbours_hold_few_pairs_at_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [(k, rng.integers(-2, 3, 4).astype(float).tolist()) for k in range(90)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    want, m = [], np.array([v for _, v in vectors])
+    norms = np.linalg.norm(m, axis=1)
+    for q in range(0, 90, 20):
+        cosine = np.round(np.divide(m / np.where(norms > 0, norms, 1)[:, None] @ m[q] / (norms[q] or 1), 1), 6)
+        near = sorted((-c + 0.0, k) for k, c in enumerate(cosine) if k != q)[:5]
+        want += [(q, k, c and -c, r) for r, (c, k) in enumerate(near, 1)]
+    for cells in (1 << 19, 40, 1):
+        monkeypatch.setattr(association, "CELLS", cells)
+        got = sorted(map(tuple, association.cosine_neighbours(df, df.filter("vec_id % 20 = 0"), 5, 3).collect()), key=lambda r: (r[0], r[3]))
+        assert [(*r[:2], round(r[2], 5), r[3]) for r in got] == [(*r[:2], pytest.approx(r[2], abs=1e-4), r[3]) for r in want]

@@ -91,3 +91,20 @@ def test_neighbours_hold_few_pairs_at_once(spark, monkeypatch):
         monkeypatch.setattr(association, "CELLS", cells)
         got = sorted(map(tuple, association.cosine_neighbours(df, df.filter("vec_id % 20 = 0"), 5, 3).collect()), key=lambda r: (r[0], r[3]))
         assert [(*r[:2], round(r[2], 5), r[3]) for r in got] == [(*r[:2], pytest.approx(r[2], abs=1e-4), r[3]) for r in want]
+
+
+def jobs(spark, run):
+    spark.sparkContext.setJobGroup("counted", "")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted"))
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup("counted")) - before
+
+
+def test_a_small_matrix_is_counted_once(spark, monkeypatch):
+    words = spark.createDataFrame([("a-b-a", 2), ("b-c", 1), ("a-c", 5)], "text string, n long").coalesce(1)
+    assert jobs(spark, lambda: matrix.sign_embeddings(words, 3)) <= 2
+    seen = {}
+    monkeypatch.setattr(matrix, "small", lambda df, *_: seen.update({(r.sign, r.context, r.n) for r in df.collect()} and {"rows": sorted(map(tuple, df.select("sign", "context", "n").collect()))}) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        matrix.sign_embeddings(words, 3)
+    assert seen["rows"] == sorted([("b", "L1:a", 2), ("a", "L1:b", 2), ("a", "R1:b", 2), ("b", "R1:a", 2), ("a", "initial", 2), ("a", "final", 2), ("c", "L1:b", 1), ("b", "R1:c", 1), ("b", "initial", 1), ("c", "final", 1), ("c", "L1:a", 5), ("a", "R1:c", 5), ("a", "initial", 5), ("c", "final", 5)])

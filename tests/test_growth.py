@@ -108,3 +108,8 @@ def test_a_small_matrix_is_counted_once(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         matrix.sign_embeddings(words, 3)
     assert seen["rows"] == sorted([("b", "L1:a", 2), ("a", "L1:b", 2), ("a", "R1:b", 2), ("b", "R1:a", 2), ("a", "initial", 2), ("a", "final", 2), ("c", "L1:b", 1), ("b", "R1:c", 1), ("b", "initial", 1), ("c", "final", 1), ("c", "L1:a", 5), ("a", "R1:c", 5), ("a", "initial", 5), ("c", "final", 5)])
+
+
+def test_clusters_read_the_vocabulary_once(spark):
+    words = spark.createDataFrame([(f"{a}-{b}" if b else a + "-x", 1) for a in ("k-a", "k-e", "k-i", "k-o", "k-u") for b in ("", "s")], "text string, n long")
+    assert "InMemoryRelation" in plan(matrix.morphological_clusters(words))

@@ -113,3 +113,11 @@ def test_a_small_matrix_is_counted_once(spark, monkeypatch):
 def test_clusters_read_the_vocabulary_once(spark):
     words = spark.createDataFrame([(f"{a}-{b}" if b else a + "-x", 1) for a in ("k-a", "k-e", "k-i", "k-o", "k-u") for b in ("", "s")], "text string, n long")
     assert "InMemoryRelation" in plan(matrix.morphological_clusters(words))
+
+
+def test_cut_words_read_the_vocabulary_once(spark):
+    words = spark.createDataFrame([(w, 1) for w in ("a-b-c-x", "a-b-d-y", "a--b-e-z", "q", "--", "abcx")], "text string, n long")
+    df = morphology.segment(words)
+    got = {r.text: (r.cuts, r.pieces) for r in df.collect()}
+    assert got["a-b-c-x"] == ([2], ["a-b", "c-x"]) and got["abcx"] == ([2], ["ab", "cx"]) and got["a--b-e-z"] == ([2], ["a-b", "e-z"]) and got["q"] == ([], ["q"]) and got["--"] == ([], [])
+    assert "InMemoryRelation" in plan(df)

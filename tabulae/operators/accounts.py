@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulae.functions.numerals import has_value, line_value, parse_value
+from tabulae.functions.numerals import has_value, line_value, parse_value, some_value, sum_values
+from tabulae.operators.ledgers import closed_sections
 
 
 class Markers(NamedTuple):
@@ -64,17 +65,10 @@ def balance_check(lines: DataFrame, markers: Markers = LINEAR_A) -> DataFrame:
     """Each stated total of parsed lines against what stands before it: a total against the items
     since the last total of any kind, a grand total against the totals since the last grand
     total and the items behind them. Two running counts number the sections."""
-    past = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    closes, grand = F.col("role").isin("total", "grand-total"), F.col("role") == "grand-total"
-    flag = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(past), F.lit(0))
-    rows = parse_lines(lines, markers).withColumn("_sec", flag(closes)).withColumn("_gsec", flag(grand))
-    sec, gsec = W.partitionBy("doc_id", "_sec"), W.partitionBy("doc_id", "_gsec")
-    item, total = (F.col("role") == "item") & F.col("has_number"), F.col("role") == "total"
-    sums = lambda c, w: F.coalesce(F.sum(F.when(c, F.col("value"))).over(w), F.lit(0.0))
-    counts = lambda c, w: F.sum(F.when(c, 1).otherwise(0)).over(w)
-    rows = rows.withColumn("computed", sums(item, sec) + F.when(grand, sums(total, gsec)).otherwise(0.0))
-    rows = rows.withColumn("items", (counts(item, sec) + F.when(grand, counts(total, gsec)).otherwise(0)).cast("long")).filter(closes)
     marker = F.coalesce(F.get(F.filter("terms", lambda t: _among(t, markers.total) | _among(t, markers.grand_total)), F.lit(0)), F.lit(""))
+    # the tokens stay behind: what is sorted is a line's number, role, value and marker
+    rows = parse_lines(lines, markers).withColumn("marker", marker)
+    rows = closed_sections(rows, (F.col("role") == "item") & F.col("has_number"), "marker")
     gap = F.col("computed") - F.col("value")
     return rows.select("doc_id", "line_no", "role", marker.alias("marker"), F.col("value").alias("stated"), "computed", "items", gap.alias("difference"), (F.abs(gap) < 1e-6).alias("balances"))
 

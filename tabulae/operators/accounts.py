@@ -70,7 +70,7 @@ def balance_check(lines: DataFrame, markers: Markers = LINEAR_A) -> DataFrame:
     rows = parse_lines(lines, markers).withColumn("marker", marker)
     rows = closed_sections(rows, (F.col("role") == "item") & F.col("has_number"), "marker")
     gap = F.col("computed") - F.col("value")
-    return rows.select("doc_id", "line_no", "role", marker.alias("marker"), F.col("value").alias("stated"), "computed", "items", gap.alias("difference"), (F.abs(gap) < 1e-6).alias("balances"))
+    return rows.select("doc_id", "line_no", "role", "marker", F.col("value").alias("stated"), "computed", "items", gap.alias("difference"), (F.abs(gap) < 1e-6).alias("balances"))
 
 
 def checkable_accounts(lines: DataFrame, tokens: DataFrame, tolerance: float = 0.1, markers: Markers = LINEAR_A) -> DataFrame:
@@ -129,24 +129,26 @@ def _commodity(tokens: Column) -> Column:
 
 def account_entries(lines: DataFrame, markers: Markers = LINEAR_A) -> DataFrame:
     """(doc_id, line_no, head, value, commodity): lines whose first lexical word, no marker, has a
-    number behind it, with what stands behind it."""
-    head = F.get(F.filter("tokens", is_lexical_word), F.lit(0))
-    rows = lines.withColumn("head", head).filter(F.col("head").isNotNull() & ~_among(F.col("head"), sum(markers, ())))
-    after = F.slice("tokens", F.array_position("tokens", F.col("head")) + 1, F.size("tokens"))
-    rows = rows.withColumn("after", after).filter(has_value(F.col("after")))
-    return rows.select("doc_id", "line_no", "head", line_value(F.col("after")).alias("value"), _commodity(F.col("after")).alias("commodity"))
+    number behind it, with what stands behind it. Tokens are parsed once: what is found is bound to names
+    inside one expression, and what is not asked for goes there."""
+    tokens = F.col("tokens")
+
+    def entry(head: Column) -> Column:
+        after = F.slice(tokens, F.array_position(tokens, head) + 1, F.size(tokens))
+        return F.transform(F.array(after), lambda t: F.transform(F.array(F.transform(t, parse_value)), lambda v: F.struct(head.alias("head"), some_value(v).alias("some"), sum_values(v).alias("value"), _commodity(t).alias("commodity"))))
+
+    heads = F.filter(F.array(F.get(F.filter(tokens, is_lexical_word), F.lit(0))), lambda h: h.isNotNull() & ~_among(h, sum(markers, ())))
+    found = F.filter(F.flatten(F.flatten(F.transform(heads, entry))), lambda x: x["some"])
+    return lines.select("doc_id", "line_no", F.explode(found).alias("x")).select("doc_id", "line_no", "x.head", "x.value", "x.commodity")
 
 
 def account_dossiers(lines: DataFrame, markers: Markers = LINEAR_A) -> DataFrame:
     """One row a head: entries, tablets, total value, commodities by count, and how many other
-    heads its tablets list (each once for each tablet)."""
-    rows = account_entries(lines, markers)
-    base = rows.groupBy("head").agg(F.count("*").alias("entries"), F.countDistinct("doc_id").alias("tablets"), F.sum("value").alias("total"), F.count("commodity").alias("with_commodity"))
-    pairs = rows.select("doc_id", "head").distinct()
+    heads its tablets list (each once for each tablet). Entries are added up by tablet and head, and these by head."""
+    rows = account_entries(lines, markers).groupBy("doc_id", "head").agg(F.count("*").alias("entries"), F.sum("value").alias("total"), F.count("commodity").alias("with_commodity"))
     # a head is listed with as many others as its tablet has heads, less itself: no pairs are built
-    others = pairs.groupBy("doc_id").agg((F.count("*") - 1).alias("n"))
-    listed = pairs.join(others, "doc_id").groupBy("head").agg(F.sum("n").alias("co_listed"))
-    return base.join(listed, "head")
+    others = F.when(F.col("doc_id").isNotNull(), F.count("*").over(W.partitionBy("doc_id")) - 1).otherwise(0)
+    return rows.withColumn("others", others).groupBy("head").agg(F.sum("entries").alias("entries"), F.count("doc_id").alias("tablets"), F.sum("total").alias("total"), F.sum("with_commodity").alias("with_commodity"), F.sum("others").alias("co_listed"))
 
 
 def fraction_census(lines: DataFrame) -> DataFrame:
@@ -160,16 +162,16 @@ def fraction_census(lines: DataFrame) -> DataFrame:
 
 def commodity_metrology(lines: DataFrame, min_entries: int = 3) -> DataFrame:
     """One row a commodity with enough valued lines: entries, share with fractions in percent,
-    upper median and largest value."""
-    fractional = F.exists("tokens", lambda t: (parse_value(t) != F.floor(parse_value(t))))
-    rows = lines.filter(has_value(F.col("tokens"))).select(_commodity(F.col("tokens")).alias("head"), line_value(F.col("tokens")).alias("value"), fractional.alias("fractional")).filter("head IS NOT NULL")
+    upper median and largest value. Tokens are parsed once a line, lines read once."""
+    valued = F.transform(F.array(F.transform("tokens", parse_value)), lambda v: F.struct(F.when(some_value(v), _commodity(F.col("tokens"))).alias("head"), sum_values(v).alias("value"), F.exists(v, lambda x: x != F.floor(x)).alias("fractional")))
+    rows = lines.select(F.explode(F.filter(valued, lambda x: x["head"].isNotNull())).alias("x")).select("x.*")
     # counts of equal values are ranked, not lines: few rows a commodity reach one task
-    counts = rows.groupBy("head", "value").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("head", "value").agg(F.count("*").alias("n"), F.count_if("fractional").alias("fractional"))
     upto = W.partitionBy("head").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(W.partitionBy("head")))
-    median = ranked.filter("upto > floor(all / 2)").groupBy("head").agg(F.min("value").alias("median"))
-    base = rows.groupBy("head").agg(F.count("*").alias("entries"), F.round(100.0 * F.count_if("fractional") / F.count("*"), 6).alias("fractional_pct"), F.max("value").alias("largest")).filter(F.col("entries") >= min_entries)
-    return base.join(median, "head")
+    median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("value")))
+    out = ranked.groupBy("head").agg(F.sum("n").alias("entries"), F.round(100.0 * F.sum("fractional") / F.sum("n"), 6).alias("fractional_pct"), F.max("value").alias("largest"), median.alias("median"))
+    return out.filter(F.col("entries") >= min_entries)
 
 
 def fold_support(support: Column) -> Column:

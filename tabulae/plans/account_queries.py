@@ -40,7 +40,8 @@ def lexical_sql(t: str) -> str:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    # an order's lines come together once, for all that follows
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
     return rows.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("line_no"), F.array(F.expr(HEAD), F.expr(GOODS), F.expr(NUMBER)).alias("tokens"))
 
 

@@ -132,3 +132,14 @@ def test_sections_are_sorted_once(spark):
     ]
     # the lines' window and that of the totals; none carries lines to their section
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+def test_accounts_are_parsed_and_added_up_once(spark):
+    lines = spark.createDataFrame([(1, 1, ["KU-RO", "5"]), (1, 2, ["A-DU", "GRA", "2", "1/2"]), (1, 3, ["PA-TO", "x", "3"]), (1, 4, ["A-DU", "VIN"]), (2, 1, ["A-DU", "GRA", "1"]), (None, 1, ["A-DU", "4"])], "doc_id long, line_no long, tokens array<string>")
+    df = accounts.account_dossiers(lines)
+    assert {tuple(r) for r in df.collect()} == {("A-DU", 3, 2, 7.5, 2, 1), ("PA-TO", 1, 1, 3.0, 0, 1)} and df.columns == ["head", "entries", "tablets", "total", "with_commodity", "co_listed"]
+    metrology = accounts.commodity_metrology(lines, 1)
+    assert {(r["head"], r.entries, r.fractional_pct, r["median"], r.largest) for r in metrology.collect()} == {("GRA", 2, 50.0, 2.5, 2.5)}
+    for x in (df, metrology):
+        tree = x._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in tree and tree.count("Generate explode") == 1

@@ -123,6 +123,18 @@ def test_resampled_means_take_any_block(spark, monkeypatch):
     assert run() == got
 
 
+@pytest.mark.parametrize("null", sorted(resampling.NULLS))
+def test_null_replicates_run_apart_on_the_same_draws(spark, null):
+    words = sorted("a-b-c b-c a-a d c-d-a-b b-b c a-d".split())
+    statistic = lambda ws: float(sum(len(w) * k for k, w in enumerate(ws)) + sum(w[0] == w[-1] for w in ws) + 3 * ws.index(min(ws, key=lambda w: w[::-1])))
+    draw = resampling.generator(0)
+    want = [statistic(resampling.NULLS[null](words, draw)) for _ in range(9)]
+    df = resampling.monte_carlo(spark.createDataFrame([(w,) for w in words], "text string"), statistic, null, 9)
+    got = df.first()
+    assert got.observed == statistic(words) and got.null_mean == pytest.approx(sum(want) / 9) and got.p == pytest.approx((1 + sum(v >= statistic(words) for v in want)) / 10)
+    assert "Coalesce" not in df._jdf.queryExecution().optimizedPlan().toString()  # which would make one task of all
+
+
 def test_streams_equal_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.json").write_text('{"doc_id": 1, "text": "One. Two! "}\n{"doc_id": 2, "text": "Three"}\n')
